@@ -1,0 +1,92 @@
+"""Encoding with a tokenizer file, for vocabularies whose encoding is more than a lookup of words.
+
+The `tokenizers` package is optional; it is needed on the executors only by these functions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from lexloom.schemas import VOCAB_SCHEMA
+
+# A tokenizer definition travels with every task.
+MAX_DEFINITION_BYTES = 64 << 20
+VOCAB_ROWS_PER_TASK = 16_384
+
+
+def read_tokenizer(spark: SparkSession, path: str) -> str:
+    """The JSON definition of a tokenizer from a file that the driver can read."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def _load(definition: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(definition)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def _checked(definition: str) -> str:
+    if len(definition.encode()) > MAX_DEFINITION_BYTES:
+        raise ValueError(f"the tokenizer definition is larger than {MAX_DEFINITION_BYTES} bytes")
+    return definition
+
+
+def vocab_from_tokenizer(spark: SparkSession, definition: str) -> DataFrame:
+    """All ids of a tokenizer with their decoded text and whether they are special."""
+    definition = _checked(definition)
+    size = _load(definition).get_vocab_size(with_added_tokens=True)
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer = _load(definition)
+        special = {i for i, token in tokenizer.get_added_tokens_decoder().items() if token.special}
+        for batch in batches:
+            ids = batch["id"].tolist()
+            yield pd.DataFrame(
+                {
+                    "token_id": ids,
+                    "token": [tokenizer.decode([i], skip_special_tokens=False) for i in ids],
+                    "is_special": [i in special for i in ids],
+                }
+            )
+
+    tasks = -(-size // VOCAB_ROWS_PER_TASK)
+    return spark.range(0, size, 1, tasks).mapInPandas(decode, VOCAB_SCHEMA)
+
+
+def encode_corpus(
+    df: DataFrame,
+    definition: str,
+    order: Sequence[str],
+    text: str = "text",
+    max_length: int | None = None,
+) -> DataFrame:
+    """`(order…, input_ids)`: the ids of every text, without special tokens, cut to `max_length`.
+
+    Rows are encoded in the partitions they are in; all other columns are dropped before they reach Python.
+    """
+    definition = _checked(definition)
+    rows = df.select(*order, text)
+    schema = T.StructType(
+        [rows.schema[name] for name in order] + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))]
+    )
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer = _load(definition)
+        for batch in batches:
+            texts = ["" if value is None else value for value in batch[text]]
+            encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
+            out = batch[list(order)].copy()
+            out["input_ids"] = [item.ids[:max_length] for item in encoded]
+            yield out
+
+    return rows.mapInPandas(encode, schema)
