@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import strip
+from lexloom.functions.text import NOT_BLANK, strip
 
 # Character classes of the rules.
-BYTE_TOKEN = r"^<0x[0-9A-Fa-f]{2}>$"
+BYTE_TOKEN = r"^<0x[0-9A-Fa-f]{2}>\z"
 CONTROL_CHARACTER = r"[\x00-\x1f]"
 KEPT_SCRIPT = r"[a-zA-Z0-9가-힣]"
 SPACE_MARKERS = ("Ġ", "▁")
 SHORT_WORD = r"^[\p{L}\p{N}]{1,2}$"
 
-# Digits that are not decimal digits (superscripts, circled digits and the like).
-OTHER_DIGITS = (
-    r"\x{b2}-\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
-    r"\x{2460}-\x{2468}\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}"
-    r"\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}"
-    r"\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
-)
-DIGITS_ONLY = rf"^[\p{{Nd}}{OTHER_DIGITS}]+$"
+
+def character_class(belongs: Callable[[str], bool]) -> str:
+    """The regular-expression class of all characters for which a test on strings holds."""
+    points = [point for point in range(sys.maxunicode + 1) if belongs(chr(point))]
+    starts = [point for point, before in zip(points, [-2, *points]) if point != before + 1]
+    ends = [point for point, after in zip(points, [*points[1:], -2]) if point != after - 1]
+    return "[" + "".join(f"\\x{{{start:x}}}-\\x{{{end:x}}}" for start, end in zip(starts, ends)) + "]"
+
+
+# Superscripts, circled digits and the like count, and so do scripts newer than the JVM's character tables.
+DIGIT = character_class(str.isdigit)
+DIGITS_ONLY = f"^{DIGIT}+$"
 
 
 def keep_rules(token: Column, is_special: Column) -> dict[str, Column]:
@@ -31,7 +37,7 @@ def keep_rules(token: Column, is_special: Column) -> dict[str, Column]:
     bare = strip(token)
     return {
         "special": F.coalesce(is_special, F.lit(False)),
-        "blank": ~token.rlike(r"(?U)[^\s\x1c-\x1f]"),
+        "blank": ~token.rlike(NOT_BLANK),
         "byte": token.rlike(BYTE_TOKEN),
         "control": token.rlike(CONTROL_CHARACTER),
         "digits": bare.rlike(DIGITS_ONLY),

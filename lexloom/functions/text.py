@@ -12,14 +12,16 @@ from lexloom.schemas import NULL_TEXT
 
 NESTED = (T.ArrayType, T.StructType, T.MapType)
 
-# Whitespace as Unicode defines it, plus the four separators that text tools also strip.
-WHITESPACE = r"[\s\x1c-\x1f]"
+# Every whitespace character; all of them lie below this bound. SQL `trim` on its own takes off spaces only.
+WHITESPACE = "".join(char for char in map(chr, range(0x3001)) if char.isspace())
+NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
+CONTENT_LINE = r"(?U)^[\s\x1c-\x1f]*[^\s\x1c-\x1f#]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def strip(col: Column) -> Column:
-    """Remove whitespace of any kind at both ends; SQL `trim` takes off spaces only."""
-    return F.regexp_replace(col, f"(?U)^{WHITESPACE}+|{WHITESPACE}+$", "")
+    """Remove whitespace of any kind at both ends."""
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def split_lines(col: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import split_lines, strip
+from lexloom.functions.text import CONTENT_LINE, split_lines, strip
 
 
 def explode_lines(df: DataFrame, column: str, keep: Sequence[str] = (), name: str = "line") -> DataFrame:
@@ -17,5 +17,4 @@ def explode_lines(df: DataFrame, column: str, keep: Sequence[str] = (), name: st
 
 def clean_lines(df: DataFrame, column: str = "value") -> DataFrame:
     """Trim lines, then drop the blank ones and `#` comments."""
-    trimmed = df.withColumn(column, strip(F.col(column)))
-    return trimmed.where((F.col(column) != "") & ~F.col(column).startswith("#"))
+    return df.where(F.col(column).rlike(CONTENT_LINE)).withColumn(column, strip(F.col(column)))

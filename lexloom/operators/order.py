@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ _PLACE_BITS = 33
 # From this table size on, `head_rows` looks for a cut-off value before it takes the first keys.
 NARROW_FROM_ROWS = 10_000_000
 
-# Drawn rows are sent to every executor up to this number.
+# Drawn rows are sent to every executor up to the first number, and listed in the plan up to the second.
 BROADCAST_ROWS = 100_000
+LISTED_ROWS = 100
 
 
 def _require_order(df: DataFrame, order: Sequence[str]) -> list[str]:
@@ -64,18 +66,13 @@ def number_rows(df: DataFrame, *sort: Column | str, name: str = "row_no", total:
 def number_keys(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
     """The order columns of every row with its number; fails if they do not tell all rows apart."""
     order = _require_order(df, order)
-    numbered = number_rows(df.select(*order), *order, name=name)
-    repeated = numbered.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1)
-    if not repeated.isEmpty():
-        raise ValueError(f"{order} do not identify rows, so the numbering would not be defined")
-    return numbered
-
-
-def _join_on_order(df: DataFrame, keyed: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Join on the order columns, null keys included, keeping each column once."""
-    renamed = keyed.withColumnsRenamed({name: f"_key_{name}" for name in order})
-    match = [F.col(name).eqNullSafe(F.col(f"_key_{name}")) for name in order]
-    return df.join(renamed, match).drop(*[f"_key_{name}" for name in order])
+    # Grouped first: the range partitioning then samples the shuffled keys instead of scanning the table again.
+    keys = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = number_rows(keys, *order, name=name)
+    unclear = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in order]) | (F.col("_n") > 1)
+    if not numbered.where(unclear).limit(1).isEmpty():
+        raise ValueError(f"{order} are null or repeated in some rows, so the numbering would not be defined")
+    return numbered.drop("_n")
 
 
 def with_row_keys(df: DataFrame, order: Sequence[str], source: str = "source", name: str = "row_key") -> DataFrame:
@@ -84,8 +81,7 @@ def with_row_keys(df: DataFrame, order: Sequence[str], source: str = "source", n
     Only the order columns are sorted and numbered; the rows then meet their numbers in one join.
     """
     order = _require_order(df, order)
-    numbered = number_keys(df, order, name="_row_no")
-    keyed = _join_on_order(df, numbered, order)
+    keyed = df.join(number_keys(df, order, name="_row_no"), order)
     key = F.concat(F.coalesce(F.col(source), F.lit("None")), F.lit("-"), F.col("_row_no").cast("string"))
     return keyed.withColumn(name, key).drop("_row_no")
 
@@ -164,11 +160,17 @@ def draw_rows(
 ) -> DataFrame:
     """k rows at the positions that Python's seeded `random.sample` draws; adds `draw` (from 1) and `row_no`."""
     order = _require_order(df, order)
-    total = df.count()
+    numbered = number_keys(df, order)
+    total = numbered.count()
     drawn = random.Random(seed).sample(range(total), k=min(k, total))
     picks = df.sparkSession.createDataFrame(list(zip(drawn, range(1, len(drawn) + 1))), "row_no bigint, draw int")
-    picked = number_keys(df, order).join(_if_few(picks, k), "row_no")
-    return _join_on_order(df, _if_few(picked, k), order)
+    picked = numbered.join(_if_few(picks, k), "row_no")
+    if k <= LISTED_ROWS:
+        # Plain values reach the file scan, which a join does not.
+        keys = picked.select(*order).collect()
+        for name in order:
+            df = df.where(F.col(name).isin([key[name] for key in keys]))
+    return df.join(_if_few(picked, k), order)
 
 
 def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

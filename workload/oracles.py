@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.functions.prunable import OTHER_DIGITS
+from lexloom.functions.prunable import DIGITS_ONLY
 from lexloom.schemas import (
     ALPACA_SOURCE,
     DEFAULT_EVICTION_RATIO,
@@ -66,7 +66,7 @@ RULES = {
     "blank": f"NOT regexp_matches(token, '[^{SPACE}]')",
     "byte": "regexp_matches(token, '^<0x[0-9A-Fa-f]{2}>$')",
     "control": r"regexp_matches(token, '[\x00-\x1f]')",
-    "digits": rf"regexp_matches({strip('token')}, '^[\p{{Nd}}{OTHER_DIGITS}]+$')",
+    "digits": f"regexp_matches({strip('token')}, '{DIGITS_ONLY}')",
     "symbols": f"NOT regexp_matches({strip('token')}, '[a-zA-Z0-9가-힣]')",
     "space_marker": "(contains(token, 'Ġ') OR contains(token, '▁'))",
     "short": rf"regexp_matches({strip('token')}, '^[\p{{L}}\p{{N}}]{{1,2}}$')",

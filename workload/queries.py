@@ -403,7 +403,7 @@ def distinct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_lines(explode_lines(table(spark, sf_dir, "documents"), "text", keep=DOCUMENT_ORDER), "line")
+    return clean_lines(explode_lines(documents(spark, sf_dir), "text", keep=DOCUMENT_ORDER), "line")
 
 
 @query
