@@ -17,8 +17,8 @@ from lexloom.schemas import DEFAULT_REPORT_ROWS, DEFAULT_TOP_K, UNBOUNDED_LENGTH
 BROADCAST_BYTES = 64 << 20
 _ROW_OVERHEAD_BYTES = 64
 
-# Copies of a larger vocabulary that share the rows of a frequent word.
-SALTS = 32
+# At most so many copies of a larger vocabulary share the rows of a frequent word.
+MAX_SALTS = 1_024
 
 _INTEGER_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 _POS_BITS = 31
@@ -92,8 +92,10 @@ def tokenize(
     if fits_broadcast(vocab):
         joined = words.join(F.broadcast(ids), "word", "left")
     else:
-        salted = words.withColumn("_salt", F.pmod(F.xxhash64(*order, "pos"), F.lit(SALTS)).cast("int"))
-        copies = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # As many salts as partitions: a word that makes up a third of all rows then fills no partition.
+        salts = min(MAX_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        salted = words.withColumn("_salt", F.pmod(F.xxhash64(*order, "pos"), F.lit(salts)).cast("int"))
+        copies = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = salted.join(copies, ["word", "_salt"], "left")
     return _with_ids(joined, unk_id).select(*order, "pos", "token_id")
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.operators.order import head_rows
 from lexloom.schemas import PROFILE_SCHEMA
 from lexloom.sources.corpus import read_corpus
 
@@ -39,7 +40,7 @@ def _splits(df: DataFrame) -> list[str]:
 
 def _sample(df: DataFrame, order: Sequence[str]) -> list[str]:
     try:
-        rows = (df.orderBy(*order) if order else df).limit(1).collect()
+        rows = (head_rows(df, order, 1) if order else df).limit(1).collect()
     except Exception as error:
         return [f"{SAMPLE_FAILED}: {_reason(error)}"]
     if not rows:

@@ -17,6 +17,9 @@ from lexloom.schemas import VOCAB_SCHEMA
 MAX_DEFINITION_BYTES = 64 << 20
 VOCAB_ROWS_PER_TASK = 16_384
 
+# Rows encoded at a time; their encodings take far more memory than their texts.
+ENCODED_ROWS = 1_000
+
 
 def read_tokenizer(spark: SparkSession, path: str) -> str:
     """The JSON definition of a tokenizer from a file that the driver can read."""
@@ -83,10 +86,10 @@ def encode_corpus(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = _load(definition)
         for batch in batches:
-            texts = ["" if value is None else value for value in batch[text]]
-            encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
-            out = batch[list(order)].copy()
-            out["input_ids"] = [item.ids[:max_length] for item in encoded]
-            yield out
+            for start in range(0, len(batch), ENCODED_ROWS):
+                part = batch.iloc[start : start + ENCODED_ROWS]
+                texts = ["" if value is None else value for value in part[text]]
+                encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
+                yield part[list(order)].assign(input_ids=[item.ids[:max_length] for item in encoded])
 
     return rows.mapInPandas(encode, schema)

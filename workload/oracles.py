@@ -214,13 +214,13 @@ def profile_sql() -> str:
     for name, order in PROFILED.items():
         first = f"(SELECT * FROM {name} ORDER BY {order} LIMIT 1)"
         selects.append(f"SELECT '{name}' AS name, 'splits' AS part, 0 AS pos, 'single' AS line")
-        selects.append(
-            f"SELECT '{name}', 'schema', CAST(column_index - 1 AS INTEGER), column_name || ': ' || "
-            "CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END "
-            f"FROM duckdb_columns() WHERE table_name = '{name}'"
-        )
         for pos, (column, kind) in enumerate(PROFILE_COLUMNS[name].items()):
+            shown_type = (
+                f"CASE typeof({column}) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' "
+                f"ELSE lower(typeof({column})) END"
+            )
             shown = repr_of(column) if kind == "string" else f"CAST({column} AS VARCHAR)"
+            selects.append(f"SELECT '{name}', 'schema', {pos}, '{column}: ' || {shown_type} FROM {first}")
             selects.append(f"SELECT '{name}', 'sample', {pos}, '{column}: ' || {shown} FROM {first}")
     return " UNION ALL ".join(selects)
 
