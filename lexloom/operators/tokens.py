@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +21,8 @@ MAX_SALTS = 1_024
 
 _INTEGER_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 _POS_BITS = 31
-_PACKED = "decimal(38,0)"
-_PACKED_BITS = 127
+_LONG_BITS = 63
+_DECIMAL_BITS = 127
 
 
 def effective_max_length(model_max: Column, position_max: Column | None = None) -> Column:
@@ -101,71 +100,72 @@ def tokenize(
 
 
 # The first occurrence of a token is the least (order…, pos). Structs cannot be updated in place, so a minimum
-# over them would make Spark sort all occurrences; one wide number per row keeps the aggregation hash-based.
+# over them would make Spark sort all occurrences; one number per row keeps the aggregation hash-based.
 
 
-def _bits(df: DataFrame, order: Sequence[str]) -> list[int] | None:
-    bits = [_INTEGER_BITS.get(type(df.schema[name].dataType)) for name in order]
-    if None in bits or sum(bits) + _POS_BITS > _PACKED_BITS:
-        return None
-    return bits
-
-
-def _wide(value: Column | int) -> Column:
-    return (F.lit(Decimal(value)) if isinstance(value, int) else value).cast(_PACKED)
-
-
-def _row_rank(df: DataFrame, order: Sequence[str]) -> Column:
-    """Integer order columns as one number with room for a position, else a struct."""
-    bits = _bits(df, order)
-    if bits is None:
-        return F.struct(*order)
-    rank = reduce(
-        lambda high, item: (high * _wide(1 << item[1]) + _wide(F.col(item[0]))).cast(_PACKED),
-        list(zip(order, bits))[1:],
-        _wide(F.col(order[0])),
-    )
-    return (rank * _wide(1 << _POS_BITS)).cast(_PACKED)
-
-
-def _unpack(rank: Column, order: Sequence[str], bits: Sequence[int], df: DataFrame) -> Column:
-    """Inverse of `_row_rank`, as a struct of the order columns and `pos`."""
-
-    def divide(value: Column, by: int) -> Column:
-        return (value / _wide(by).cast("decimal(20,0)")).cast(_PACKED)
-
-    pos = F.pmod(rank, _wide(1 << _POS_BITS))
-    rest = divide(rank - pos, 1 << _POS_BITS)
-    fields = [pos.cast("int").alias("pos")]
-    for name, width in list(zip(order, bits))[:0:-1]:
-        half = _wide(1 << (width - 1))
-        low = F.pmod(rest + half, _wide(1 << width)) - half
-        rest = divide(rest - low, 1 << width)
-        fields.insert(0, low.cast(df.schema[name].dataType).alias(name))
-    fields.insert(0, rest.cast(df.schema[order[0]].dataType).alias(order[0]))
-    return F.struct(*fields)
-
-
-def _first_seen(rank: Column, packed: bool) -> Column:
-    return F.min((rank + _wide(F.col("pos"))).cast(_PACKED) if packed else F.struct(rank.alias("row"), F.col("pos")))
+class _Places:
+    """How (order…, pos) becomes one comparable value and back.
 
+    Integer order columns are packed into a bigint or, if they are wider, a decimal, with room for a position;
+    others stay a struct.
+    """
 
-def _seen_struct(seen: Column, order: Sequence[str], bits: Sequence[int] | None, df: DataFrame) -> Column:
-    if bits is not None:
-        return _unpack(seen, order, bits, df)
-    row = seen.getField("row")
-    return F.struct(*[row.getField(name).alias(name) for name in order], seen.getField("pos").alias("pos"))
+    def __init__(self, df: DataFrame, order: Sequence[str]) -> None:
+        self.order = list(order)
+        self.types = [df.schema[name].dataType for name in self.order]
+        self.bits = [_INTEGER_BITS.get(type(dtype), _DECIMAL_BITS) for dtype in self.types]
+        width = sum(self.bits) + _POS_BITS
+        self.packed = width <= _DECIMAL_BITS
+        self.number = "bigint" if width <= _LONG_BITS else "decimal(38,0)"
+
+    def _num(self, value: Column | int) -> Column:
+        return (F.lit(Decimal(value)) if isinstance(value, int) else value).cast(self.number)
+
+    def _shift(self, value: Column, bits: int) -> Column:
+        return (value * self._num(1 << bits)).cast(self.number)
+
+    def _split(self, value: Column, bits: int) -> tuple[Column, Column]:
+        """The part above the low bits, and the low bits as a number from 0."""
+        low = F.pmod(value, self._num(1 << bits))
+        return ((value - low) / F.lit(Decimal(1 << bits))).cast(self.number), low
+
+    def row(self) -> Column:
+        """The value of a row, to be computed before its words are exploded."""
+        if not self.packed:
+            return F.struct(*self.order)
+        value = self._num(F.col(self.order[0]))
+        for name, bits in list(zip(self.order, self.bits))[1:]:
+            value = (self._shift(value, bits) + self._num(F.col(name))).cast(self.number)
+        return self._shift(value, _POS_BITS)
+
+    def least(self, row: Column, pos: Column) -> Column:
+        """Aggregate: the least place."""
+        if not self.packed:
+            return F.min(F.struct(row.alias("row"), pos.alias("pos")))
+        return F.min((row + self._num(pos)).cast(self.number))
+
+    def struct(self, place: Column) -> Column:
+        """A place as a struct of the order columns and `pos`."""
+        if not self.packed:
+            row = place.getField("row")
+            fields = [row.getField(name).alias(name) for name in self.order]
+            return F.struct(*fields, place.getField("pos").alias("pos"))
+        rest, pos = self._split(place, _POS_BITS)
+        fields = [pos.cast("int").alias("pos")]
+        for name, dtype, bits in list(zip(self.order, self.types, self.bits))[:0:-1]:
+            half = self._num(1 << (bits - 1))
+            rest, low = self._split(rest + half, bits)
+            fields.insert(0, (low - half).cast(dtype).alias(name))
+        return F.struct(rest.cast(self.types[0]).alias(self.order[0]), *fields)
 
 
 def count_tokens(occurrences: DataFrame, order: Sequence[str]) -> DataFrame:
     """`(token_id, cnt, first_seen)` of occurrences; `first_seen` is the least struct of order columns and `pos`."""
-    order = _require_order(occurrences, order)
-    bits = _bits(occurrences, order)
+    places = _Places(occurrences, _require_order(occurrences, order))
     counts = occurrences.groupBy("token_id").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        _first_seen(_row_rank(occurrences, order), bits is not None).alias("_seen"),
+        F.count(F.lit(1)).alias("cnt"), places.least(places.row(), F.col("pos")).alias("_place")
     )
-    return counts.select("token_id", "cnt", _seen_struct(F.col("_seen"), order, bits, occurrences).alias("first_seen"))
+    return counts.select("token_id", "cnt", places.struct(F.col("_place")).alias("first_seen"))
 
 
 def count_corpus(
@@ -177,32 +177,21 @@ def count_corpus(
     unk_id: int | None = None,
     pattern: str = WORD_PATTERN,
 ) -> DataFrame:
-    """`count_tokens` of `tokenize`, without ever shuffling occurrences.
+    """`count_tokens` of `tokenize`, by counting words first.
 
-    With a vocabulary of checked size words become ids in the scan's own stage, and each task sends at most
-    one row per id. With a larger one words are counted first, and only distinct words meet the vocabulary;
-    both sides are then partitioned by word, as the counting left them.
+    Each task sends one row per distinct word, so no word is too frequent for the shuffle; only distinct words
+    meet the vocabulary, whatever its size, and by the word they are partitioned by already.
     """
-    order = _require_order(df, order)
-    bits = _bits(df, order)
-    packed = bits is not None
-    rows = df.select(
-        _row_rank(df, order).alias("_row"),
-        F.col(text).alias("_text"),
-        *([max_length.alias("_length")] if isinstance(max_length, Column) else []),
+    places = _Places(df, _require_order(df, order))
+    length = [max_length.alias("_length")] if isinstance(max_length, Column) else []
+    rows = df.select(places.row().alias("_row"), F.col(text).alias("_text"), *length)
+    words = pretokenize(rows, ["_row"], "_text", F.col("_length") if length else max_length, pattern)
+    counted = words.groupBy("word").agg(
+        F.count(F.lit(1)).alias("_n"), places.least(F.col("_row"), F.col("pos")).alias("_place")
     )
-    length = F.col("_length") if isinstance(max_length, Column) else max_length
-    words = pretokenize(rows, ["_row"], "_text", length, pattern)
-    ids = _word_ids(vocab)
-    seen = _first_seen(F.col("_row"), packed).alias("_seen")
-    if fits_broadcast(vocab):
-        tokens = _with_ids(words.join(F.broadcast(ids), "word", "left"), unk_id)
-        counts = tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("cnt"), seen)
-    else:
-        counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("_n"), seen)
-        tokens = _with_ids(counted.join(ids, "word", "left"), unk_id)
-        counts = tokens.groupBy("token_id").agg(F.sum("_n").alias("cnt"), F.min("_seen").alias("_seen"))
-    return counts.select("token_id", "cnt", _seen_struct(F.col("_seen"), order, bits, df).alias("first_seen"))
+    tokens = _with_ids(counted.join(_word_ids(vocab), "word", "left"), unk_id)
+    counts = tokens.groupBy("token_id").agg(F.sum("_n").alias("cnt"), F.min("_place").alias("_place"))
+    return counts.select("token_id", "cnt", places.struct(F.col("_place")).alias("first_seen"))
 
 
 def count_words(

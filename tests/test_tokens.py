@@ -97,10 +97,26 @@ def test_extreme_order_values_survive_packing(spark, vocab):
         assert got == {1: (1, (part, row, 2)), 2: (1, (part, row, 1))}
 
 
-def test_hash_aggregation_without_shuffled_occurrences(spark, vocab):
+@pytest.mark.parametrize("dtype", ["tinyint", "smallint", "int", "bigint"])
+def test_narrow_and_wide_order_columns(spark, vocab, dtype):
+    top = 2 ** {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}[dtype]
+    low, high = -top, top - 1
+    rows = [(high, high, "the"), (low, high, "the a"), (low, low, "cat the"), (0, -1, "dog"), (-1, 0, "dog")]
+    columns = ["row"] if dtype == "bigint" else ["part", "row"]
+    corpus = spark.createDataFrame(rows, f"part {dtype}, row {dtype}, text string")
+    got = as_dict(tokens.count_corpus(corpus, vocab, columns))
+    first = {1: (low, low, 2), 4: (low, low, 0), 3: (low, high, 2), 5: (-1, 0, 0)}
+    if columns == ["row"]:
+        first = {1: (low, 2), 4: (low, 0), 3: (high, 2), 5: (-1, 0)}
+    assert {k: v[1] for k, v in got.items() if k != 2} == first
+
+
+def test_words_are_counted_by_hash_before_the_only_large_shuffle(spark, vocab):
     corpus, _ = make_corpus(spark, 4)
     plan = tokens.count_corpus(corpus, vocab, ORDER, unk_id=0)._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan and "BroadcastHashJoin" in plan
+    assert "SortAggregate" not in plan
+    generate = plan[: plan.index("Generate posexplode")]
+    assert "HashAggregate" in generate[generate.rindex("Exchange hashpartitioning(word") :]
 
 
 @pytest.mark.parametrize("partitions", ["1", "4", "64"])
