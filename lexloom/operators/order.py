@@ -63,16 +63,17 @@ def number_rows(df: DataFrame, *sort: Column | str, name: str = "row_no", total:
     return numbered.select(*df.columns, (F.col("_start") + F.col("_place")).alias(name), *extra)
 
 
-def number_keys(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
-    """The order columns of every row with its number; fails if they do not tell all rows apart."""
+def number_keys(df: DataFrame, order: Sequence[str], name: str = "row_no") -> tuple[DataFrame, int]:
+    """The order columns of every row with its number, and how many there are; fails if they do not tell all apart."""
     order = _require_order(df, order)
     # Grouped first: the range partitioning then samples the shuffled keys instead of scanning the table again.
     keys = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
     numbered = number_rows(keys, *order, name=name)
     unclear = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in order]) | (F.col("_n") > 1)
-    if not numbered.where(unclear).limit(1).isEmpty():
+    size = numbered.agg(F.count(F.lit(1)).alias("total"), F.count_if(unclear).alias("unclear")).first()
+    if size["unclear"]:
         raise ValueError(f"{order} are null or repeated in some rows, so the numbering would not be defined")
-    return numbered.drop("_n")
+    return numbered.drop("_n"), size["total"]
 
 
 def with_row_keys(df: DataFrame, order: Sequence[str], source: str = "source", name: str = "row_key") -> DataFrame:
@@ -81,7 +82,8 @@ def with_row_keys(df: DataFrame, order: Sequence[str], source: str = "source", n
     Only the order columns are sorted and numbered; the rows then meet their numbers in one join.
     """
     order = _require_order(df, order)
-    keyed = df.join(number_keys(df, order, name="_row_no"), order)
+    numbered, _ = number_keys(df, order, name="_row_no")
+    keyed = df.join(numbered, order)
     key = F.concat(F.coalesce(F.col(source), F.lit("None")), F.lit("-"), F.col("_row_no").cast("string"))
     return keyed.withColumn(name, key).drop("_row_no")
 
@@ -160,14 +162,14 @@ def draw_rows(
 ) -> DataFrame:
     """k rows at the positions that Python's seeded `random.sample` draws; adds `draw` (from 1) and `row_no`."""
     order = _require_order(df, order)
-    numbered = number_keys(df, order)
-    total = numbered.count()
+    numbered, total = number_keys(df, order)
     drawn = random.Random(seed).sample(range(total), k=min(k, total))
     picks = df.sparkSession.createDataFrame(list(zip(drawn, range(1, len(drawn) + 1))), "row_no bigint, draw int")
     picked = numbered.join(_if_few(picks, k), "row_no")
     if k <= LISTED_ROWS:
         # Plain values reach the file scan, which a join does not.
-        keys = picked.select(*order).collect()
+        keys = picked.collect()
+        picked = df.sparkSession.createDataFrame(keys, picked.schema)
         for name in order:
             df = df.where(F.col(name).isin([key[name] for key in keys]))
     return df.join(_if_few(picked, k), order)
