@@ -1,0 +1,54 @@
+"""Counting the ids of a tokenizer file."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lexloom.operators.order import _require_order
+from lexloom.operators.tokens import Places, count_placed_words, split_words
+from lexloom.sources.tokenizer import added_tokens, split_steps, word_encoder
+
+
+def _split(text: Column, steps: Sequence[str]) -> Column:
+    """Pieces of a text, split by each pattern in turn."""
+    pieces = split_words(text, steps[0]) if steps else F.array(text)
+    for step in steps[1:]:
+        pieces = F.flatten(F.transform(pieces, lambda piece: split_words(piece, step)))
+    return pieces
+
+
+def tokenizer_words(text: Column, definition: str) -> Column:
+    """The words of a text as the tokenizer splits it, added tokens whole."""
+    steps = split_steps(definition)
+    added = added_tokens(definition)
+    if not added:
+        return _split(text, steps)
+    anyone = "|".join(rf"\Q{token}\E" for token in added)
+    parts = split_words(text, rf"{anyone}|(?s:.+?)(?={anyone}|\z)")
+    whole = F.flatten(
+        F.transform(parts, lambda part: F.when(part.isin(added), F.array(part)).otherwise(_split(part, steps)))
+    )
+    return F.when(text.rlike(anyone), whole).otherwise(_split(text, steps))
+
+
+def count_encoded_words(df: DataFrame, definition: str, order: Sequence[str], text: str = "text") -> DataFrame:
+    """`(token_id, cnt, first_seen)` of a tokenizer's ids, as from encoding every row, but encoding each word once.
+
+    Words are counted in Spark; only distinct ones reach Python. `first_seen` is the least struct of order
+    columns, word position and `offset` within the word. Rows cut to a number of ids need `encode_corpus`.
+    """
+    places = Places(df, _require_order(df, order))
+    rows = df.select(places.row().alias("_row"), F.col(text).alias("_text"))
+    words = rows.select("_row", F.posexplode(tokenizer_words(F.col("_text"), definition)).alias("pos", "word"))
+    encoded = count_placed_words(words, places).select("_n", "_place", word_encoder(definition)("word").alias("_ids"))
+    ids = encoded.select("*", F.explode("_ids").alias("token_id"))
+    # A word's occurrences of an id share the offset of the first, so the offset at the least place is one value.
+    offset = F.array_position("_ids", F.col("token_id")) - 1
+    counts = ids.groupBy("token_id").agg(
+        F.sum("_n").alias("cnt"), F.min("_place").alias("_place"), F.min_by(offset, "_place").alias("offset")
+    )
+    first_seen = F.struct(*[places.struct(F.col("_place")).getField(name).alias(name) for name in (*order, "pos")], "offset")
+    return counts.select("token_id", "cnt", first_seen.alias("first_seen"))

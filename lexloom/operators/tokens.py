@@ -32,6 +32,10 @@ def effective_max_length(model_max: Column, position_max: Column | None = None)
     return F.when(model_max > UNBOUNDED_LENGTH, F.coalesce(position_max, model_max)).otherwise(model_max)
 
 
+def split_words(text: Column, pattern: str = WORD_PATTERN) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
 def pretokenize(
     df: DataFrame,
     order: Sequence[str],
@@ -40,7 +44,7 @@ def pretokenize(
     pattern: str = WORD_PATTERN,
 ) -> DataFrame:
     """One row per word of a text, numbered from 0 as `pos`, at most `max_length` per text."""
-    words = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    words = split_words(F.col(text), pattern)
     if max_length is not None:
         length = max_length if isinstance(max_length, Column) else F.lit(max_length)
         words = F.slice(words, F.lit(1), length.cast("int"))
@@ -103,7 +107,7 @@ def tokenize(
 # over them would make Spark sort all occurrences; one number per row keeps the aggregation hash-based.
 
 
-class _Places:
+class Places:
     """How (order…, pos) becomes one comparable value and back.
 
     Integer order columns are packed into a bigint or, if they are wider, a decimal, with room for a position;
@@ -161,13 +165,20 @@ class _Places:
 
 def count_tokens(occurrences: DataFrame, order: Sequence[str]) -> DataFrame:
     """`(token_id, cnt, first_seen)` of occurrences; `first_seen` is the least struct of order columns and `pos`."""
-    places = _Places(occurrences, _require_order(occurrences, order))
+    places = Places(occurrences, _require_order(occurrences, order))
     counts = occurrences.groupBy("token_id").agg(
         F.count(F.lit(1)).alias("cnt"), places.least(places.row(), F.col("pos")).alias("_place")
     )
     return counts.select("token_id", "cnt", places.struct(F.col("_place")).alias("first_seen"))
 
 
+def count_placed_words(words: DataFrame, places: Places) -> DataFrame:
+    """`(word, _n, _place)` of rows `(_row, pos, word)`: how often, and where first."""
+    return words.groupBy("word").agg(
+        F.count(F.lit(1)).alias("_n"), places.least(F.col("_row"), F.col("pos")).alias("_place")
+    )
+
+
 def count_corpus(
     df: DataFrame,
     vocab: DataFrame,
@@ -182,13 +193,11 @@ def count_corpus(
     Each task sends one row per distinct word, so no word is too frequent for the shuffle; only distinct words
     meet the vocabulary, whatever its size, and by the word they are partitioned by already.
     """
-    places = _Places(df, _require_order(df, order))
+    places = Places(df, _require_order(df, order))
     length = [max_length.alias("_length")] if isinstance(max_length, Column) else []
     rows = df.select(places.row().alias("_row"), F.col(text).alias("_text"), *length)
     words = pretokenize(rows, ["_row"], "_text", F.col("_length") if length else max_length, pattern)
-    counted = words.groupBy("word").agg(
-        F.count(F.lit(1)).alias("_n"), places.least(F.col("_row"), F.col("pos")).alias("_place")
-    )
+    counted = count_placed_words(words, places)
     tokens = _with_ids(counted.join(_word_ids(vocab), "word", "left"), unk_id)
     counts = tokens.groupBy("token_id").agg(F.sum("_n").alias("cnt"), F.min("_place").alias("_place"))
     return counts.select("token_id", "cnt", places.struct(F.col("_place")).alias("first_seen"))

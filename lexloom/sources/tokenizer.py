@@ -1,14 +1,16 @@
-"""Encoding with a tokenizer file, for vocabularies whose encoding is more than a lookup of words.
+"""Tokenizer files, for vocabularies whose encoding is more than a lookup of words.
 
 The `tokenizers` package is optional; it is needed on the executors only by these functions.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.schemas import VOCAB_SCHEMA
@@ -26,6 +28,59 @@ def read_tokenizer(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+# Fixed value: how byte-level tokenizers split text, with whitespace of every kind.
+BYTE_LEVEL_WORD = (
+    r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+ONE_BY_ONE_DIGITS = r"\p{N}|\P{N}+"
+DIGIT_RUNS = r"\p{N}+|\P{N}+"
+
+
+def _step(settings: dict) -> str | None:
+    """The pattern whose matches are the pieces of one splitting step; None if it does not split."""
+    kind = settings["type"]
+    if kind == "ByteLevel" and not settings["add_prefix_space"]:
+        return BYTE_LEVEL_WORD if settings.get("use_regex", True) else None
+    if kind == "Digits":
+        return ONE_BY_ONE_DIGITS if settings["individual_digits"] else DIGIT_RUNS
+    if kind == "Split" and settings["behavior"] == "Isolated" and "Regex" in settings["pattern"]:
+        piece = f"(?U:{settings['pattern']['Regex']})"
+        return f"{piece}|(?s:.+?)(?={piece}|\\z)"
+    raise ValueError(f"texts cannot be split ahead of this tokenizer's {kind} step; encode whole rows instead")
+
+
+def split_steps(definition: str) -> list[str]:
+    """The patterns by which a tokenizer splits text into the words it encodes independently, in turn.
+
+    Fails for tokenizers that change text before they split it or split it in other ways.
+    """
+    settings = json.loads(definition)
+    if settings["normalizer"] is not None:
+        raise ValueError("the tokenizer normalizes whole texts; encode whole rows instead")
+    chosen = settings["pre_tokenizer"]
+    if chosen is None:
+        raise ValueError("the tokenizer does not split texts; encode whole rows instead")
+    steps = chosen["pretokenizers"] if chosen["type"] == "Sequence" else [chosen]
+    return [pattern for pattern in map(_step, steps) if pattern is not None]
+
+
+def word_definition(definition: str) -> str:
+    """The same tokenizer for words that have been split already."""
+    settings = json.loads(definition)
+    chosen = settings["pre_tokenizer"]
+    steps = chosen["pretokenizers"] if chosen["type"] == "Sequence" else [chosen]
+    unsplit = {"add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    byte_level = any(step["type"] == "ByteLevel" for step in steps)
+    settings["pre_tokenizer"] = {"type": "ByteLevel", **unsplit} if byte_level else None
+    return json.dumps(settings)
+
+
+def added_tokens(definition: str) -> list[str]:
+    """Tokens that are found in the text before it is split, longest first."""
+    contents = [token["content"] for token in json.loads(definition)["added_tokens"]]
+    return sorted(contents, key=len, reverse=True)
+
+
 def _load(definition: str):
     import os
 
@@ -44,6 +99,19 @@ def _checked(definition: str) -> str:
     return definition
 
 
+def word_encoder(definition: str):
+    """A vectorized function from words to id lists."""
+    definition = _checked(word_definition(definition))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = _load(definition)
+        for words in batches:
+            yield pd.Series([item.ids for item in tokenizer.encode_batch(words.tolist(), add_special_tokens=False)])
+
+    return encode
+
+
 def vocab_from_tokenizer(spark: SparkSession, definition: str) -> DataFrame:
     """All ids of a tokenizer with their decoded text and whether they are special."""
     definition = _checked(definition)

@@ -1,5 +1,6 @@
 """Words, ids and counts; both ways to meet a vocabulary; order of ties."""
 
+import json
 import random
 import re
 from collections import Counter
@@ -8,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import tokens
+from lexloom.operators.encoding import count_encoded_words
 from lexloom.operators.vocab import label_vocab, unused_tokens, used_tokens, with_token_text
-from lexloom.sources.tokenizer import encode_corpus, read_tokenizer, vocab_from_tokenizer
+from lexloom.sources.tokenizer import encode_corpus, read_tokenizer, split_steps, vocab_from_tokenizer
 
 VOCAB = ["<unk>", "the", " ", "a", "cat", "dog", ".", "1", "\n", "한국어", "unused"]
 ORDER = ["part", "row"]
@@ -186,10 +188,15 @@ def test_effective_max_length(spark, model_max, position_max, want):
     assert spark.range(1).select(tokens.effective_max_length(F.lit(5))).collect()[0][0] == 5
 
 
-def trained_tokenizer(path):
+def trained_tokenizer(path, split=None):
     tokenizers = pytest.importorskip("tokenizers")
     tokenizer = tokenizers.Tokenizer(tokenizers.models.BPE())
-    tokenizer.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+    byte_level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=split != "regex")
+    if split == "digits":
+        first = tokenizers.pre_tokenizers.Digits(individual_digits=True)
+    elif split == "regex":
+        first = tokenizers.pre_tokenizers.Split(tokenizers.Regex(r"\s?\p{L}+|\p{N}{1,3}"), "isolated")
+    tokenizer.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([first, byte_level]) if split else byte_level
     tokenizer.decoder = tokenizers.decoders.ByteLevel()
     trainer = tokenizers.trainers.BpeTrainer(
         vocab_size=320,
@@ -223,3 +230,37 @@ def test_tokenizer_file(spark, tmp_path):
     ids = [i for text in texts for i in tokenizer.encode(text or "", add_special_tokens=False).ids]
     top = tokens.top_tokens(tokens.count_tokens(occurrences, ["id"]), 5).orderBy("rank").collect()
     assert [(r["token_id"], r["cnt"]) for r in top] == Counter(ids).most_common(5)
+
+
+@pytest.mark.parametrize("split", [None, "digits", "regex"])
+def test_encoding_distinct_words_equals_encoding_rows(spark, tmp_path, split):
+    trained_tokenizer(tmp_path / "tokenizer.json", split)
+    definition = read_tokenizer(spark, str(tmp_path / "tokenizer.json"))
+    rng = random.Random(11)
+    pieces = ["the", " cats", "'s", " ", "  ", "\n", "\n\n x", "12", " 2024", "한국어", " 한", "!?", " - ", "haha",
+              "<|endoftext|>", " <|endoftext|> ", "\xa0", "é", "ǆ", "①", "\t"]
+    data = [(i, "".join(rng.choices(pieces, k=rng.randrange(30)))) for i in range(150)] + [(-5, None), (-4, "")]
+    df = spark.createDataFrame(data, "id bigint, text string").repartition(4)
+    rows = tokens.count_tokens(tokens.explode_token_ids(encode_corpus(df, definition, ["id"]), ["id"]), ["id"])
+    words = count_encoded_words(df, definition, ["id"])
+    ranked = [
+        [(r["token_id"], r["cnt"]) for r in tokens.top_tokens(counts, 1000).orderBy("rank").collect()]
+        for counts in (rows, words)
+    ]
+    assert len(ranked[0]) > 20 and ranked[0] == ranked[1]
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert plan.index("ArrowEvalPython") < plan.index("Exchange hashpartitioning(word")
+
+
+def test_tokenizers_that_need_whole_rows(tmp_path):
+    tokenizer = trained_tokenizer(tmp_path / "tokenizer.json")
+    settings = json.loads(tokenizer.to_str())
+    for changed in (
+        {"normalizer": {"type": "NFC"}},
+        {"pre_tokenizer": None},
+        {"pre_tokenizer": {"type": "Whitespace"}},
+        {"pre_tokenizer": {**settings["pre_tokenizer"], "add_prefix_space": True}},
+    ):
+        with pytest.raises(ValueError):
+            split_steps(json.dumps({**settings, **changed}))

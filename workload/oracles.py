@@ -313,8 +313,8 @@ def all_oracles() -> dict[str, str]:
             select=flat_counts(["source_order", "row_no"]),
         ),
         "truncated_counts": query(
-            *counts_ctes(CONVERSATION_ROWS, CONVERSATION_KEYS, TRUNCATED_LENGTH),
-            select=flat_counts(CONVERSATION_KEYS),
+            *counts_ctes("documents", ["doc_id"], TRUNCATED_LENGTH),
+            select=flat_counts(["doc_id"]),
         ),
         "text_columns_counts": query(
             ALPACA,
@@ -325,6 +325,10 @@ def all_oracles() -> dict[str, str]:
             select=flat_counts(["row_order", "sub_order"]),
         ),
         "tokenizer_counts": query(*conversation, select=flat_counts(CONVERSATION_KEYS)),
+        "tokenizer_word_counts": query(*conversation, select=flat_counts(CONVERSATION_KEYS)),
+        "tokenizer_evicted": query(
+            *conversation, *evicted_ctes(DEFAULT_EVICTION_RATIO), select="SELECT token_id, token FROM evicted"
+        ),
         "tokenizer_vocabulary": query(*VOCAB, select="SELECT * FROM vocab"),
         "top_tokens_report": query(*conversation, TOP, select=ranked_token.format(rows="top")),
         "rare_tokens_report": query(*conversation, RARE, select=ranked_token.format(rows="rare")),

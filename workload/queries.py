@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.chat import ChatOptions
 from lexloom.functions.prunable import keep_rules
+from lexloom.operators.encoding import count_encoded_words
 from lexloom.operators.lines import clean_lines, explode_lines
 from lexloom.operators.order import dedupe_keep_first, draw_rows, head_rows, sample_rows, with_row_keys
 from lexloom.operators.text import extract_text, extract_text_columns
@@ -63,7 +64,7 @@ from workload.inputs import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 PLAIN_PROMPT = "Answer briefly."
-TRUNCATED_LENGTH = 64
+TRUNCATED_LENGTH = 2_048
 DOCUMENT_RATIO = 0.5
 SUMMARY_TOP_K = 200
 REPORT_ROWS = 30
@@ -228,10 +229,10 @@ def unified_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def truncated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extract_text(conversations(spark, sf_dir), keep=CONVERSATION_ORDER)
+    rows = extract_text(documents(spark, sf_dir), keep=DOCUMENT_ORDER)
     length = effective_max_length(F.lit(1_000_000), F.lit(TRUNCATED_LENGTH))
-    counts = count_corpus(rows, vocabulary(spark, sf_dir), CONVERSATION_ORDER, max_length=length, unk_id=UNK_ID)
-    return _flat_counts(counts, *CONVERSATION_ORDER)
+    counts = count_corpus(rows, vocabulary(spark, sf_dir), DOCUMENT_ORDER, max_length=length, unk_id=UNK_ID)
+    return _flat_counts(counts, *DOCUMENT_ORDER)
 
 
 @query
@@ -248,6 +249,22 @@ def tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_counts(count_tokens(occurrences, CONVERSATION_ORDER), *CONVERSATION_ORDER)
 
 
+def _encoded_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract_text(conversations(spark, sf_dir), keep=CONVERSATION_ORDER)
+    return count_encoded_words(rows, tokenizer_definition(vocabulary(spark, sf_dir)), CONVERSATION_ORDER)
+
+
+@query
+def tokenizer_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_counts(_encoded_word_counts(spark, sf_dir), *CONVERSATION_ORDER)
+
+
+@query
+def tokenizer_evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = vocab_from_tokenizer(spark, tokenizer_definition(vocabulary(spark, sf_dir)))
+    return select_evicted(vocab, _encoded_word_counts(spark, sf_dir)).select("token_id", "token")
+
+
 @query
 def tokenizer_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab_from_tokenizer(spark, tokenizer_definition(vocabulary(spark, sf_dir)))
