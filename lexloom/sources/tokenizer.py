@@ -6,7 +6,7 @@ The `tokenizers` package is optional; it is needed on the executors only by thes
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -81,44 +81,46 @@ def added_tokens(definition: str) -> list[str]:
     return sorted(contents, key=len, reverse=True)
 
 
-def _load(definition: str):
-    import os
+def _loader(definition: str) -> Callable:
+    """What a task calls to get the tokenizer; a nested function, so that executors need not have this package."""
+    if len(definition.encode()) > MAX_DEFINITION_BYTES:
+        raise ValueError(f"the tokenizer definition is larger than {MAX_DEFINITION_BYTES} bytes")
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def load():
+        import os
 
-    tokenizer = Tokenizer.from_str(definition)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
+        tokenizer = Tokenizer.from_str(definition)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
 
-def _checked(definition: str) -> str:
-    if len(definition.encode()) > MAX_DEFINITION_BYTES:
-        raise ValueError(f"the tokenizer definition is larger than {MAX_DEFINITION_BYTES} bytes")
-    return definition
+    return load
 
 
-def word_encoder(definition: str):
+def word_encoder(definition: str) -> Callable:
     """A vectorized function from words to id lists."""
-    definition = _checked(word_definition(definition))
+    load = _loader(word_definition(definition))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = _load(definition)
+        tokenizer = load()
         for words in batches:
             yield pd.Series([item.ids for item in tokenizer.encode_batch(words.tolist(), add_special_tokens=False)])
 
-    return encode
+    # Spark may run a deterministic function early, for every occurrence of a word instead of once.
+    return encode.asNondeterministic()
 
 
 def vocab_from_tokenizer(spark: SparkSession, definition: str) -> DataFrame:
     """All ids of a tokenizer with their decoded text and whether they are special."""
-    definition = _checked(definition)
-    size = _load(definition).get_vocab_size(with_added_tokens=True)
+    load = _loader(definition)
+    size = load().get_vocab_size(with_added_tokens=True)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _load(definition)
+        tokenizer = load()
         special = {i for i, token in tokenizer.get_added_tokens_decoder().items() if token.special}
         for batch in batches:
             ids = batch["id"].tolist()
@@ -145,14 +147,14 @@ def encode_corpus(
 
     Rows are encoded in the partitions they are in; all other columns are dropped before they reach Python.
     """
-    definition = _checked(definition)
+    load = _loader(definition)
     rows = df.select(*order, text)
     schema = T.StructType(
         [rows.schema[name] for name in order] + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))]
     )
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _load(definition)
+        tokenizer = load()
         for batch in batches:
             for start in range(0, len(batch), ENCODED_ROWS):
                 part = batch.iloc[start : start + ENCODED_ROWS]

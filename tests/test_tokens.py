@@ -250,6 +250,7 @@ def test_encoding_distinct_words_equals_encoding_rows(spark, tmp_path, split):
     assert len(ranked[0]) > 20 and ranked[0] == ranked[1]
     plan = words._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+    assert plan.count("ArrowEvalPython") == 1
     assert plan.index("ArrowEvalPython") < plan.index("Exchange hashpartitioning(word")
 
 
