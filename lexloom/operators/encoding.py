@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.places import measured_places
 from lexloom.operators.order import _require_order
-from lexloom.operators.tokens import Places, count_placed_words, split_words
+from lexloom.operators.tokens import count_placed_words, split_words
 from lexloom.sources.tokenizer import added_tokens, split_steps, word_encoder
 
 
@@ -40,7 +41,7 @@ def count_encoded_words(df: DataFrame, definition: str, order: Sequence[str], te
     Words are counted in Spark; only distinct ones reach Python. `first_seen` is the least struct of order
     columns, word position and `offset` within the word. Rows cut to a number of ids need `encode_corpus`.
     """
-    places = Places(df, _require_order(df, order))
+    places = measured_places(df, _require_order(df, order), text)
     rows = df.select(places.row().alias("_row"), F.col(text).alias("_text"))
     words = rows.select("_row", F.posexplode(tokenizer_words(F.col("_text"), definition)).alias("pos", "word"))
     encoded = count_placed_words(words, places).select("_n", "_place", word_encoder(definition)("word").alias("_ids"))

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lexloom.functions.places import Places, measured_places, places_by_type
 from lexloom.operators.order import _require_order
 from lexloom.schemas import DEFAULT_REPORT_ROWS, DEFAULT_TOP_K, UNBOUNDED_LENGTH, WORD_PATTERN
 
@@ -19,11 +18,6 @@ _ROW_OVERHEAD_BYTES = 64
 # At most so many copies of a larger vocabulary share the rows of a frequent word.
 MAX_SALTS = 1_024
 
-_INTEGER_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
-_POS_BITS = 31
-_LONG_BITS = 63
-_DECIMAL_BITS = 127
-
 
 def effective_max_length(model_max: Column, position_max: Column | None = None) -> Column:
     """The tokenizer's limit, or the model's number of positions where the former is practically unbounded."""
@@ -103,69 +97,9 @@ def tokenize(
     return _with_ids(joined, unk_id).select(*order, "pos", "token_id")
 
 
-# The first occurrence of a token is the least (order…, pos). Structs cannot be updated in place, so a minimum
-# over them would make Spark sort all occurrences; one number per row keeps the aggregation hash-based.
-
-
-class Places:
-    """How (order…, pos) becomes one comparable value and back.
-
-    Integer order columns are packed into a bigint or, if they are wider, a decimal, with room for a position;
-    others stay a struct.
-    """
-
-    def __init__(self, df: DataFrame, order: Sequence[str]) -> None:
-        self.order = list(order)
-        self.types = [df.schema[name].dataType for name in self.order]
-        self.bits = [_INTEGER_BITS.get(type(dtype), _DECIMAL_BITS) for dtype in self.types]
-        width = sum(self.bits) + _POS_BITS
-        self.packed = width <= _DECIMAL_BITS
-        self.number = "bigint" if width <= _LONG_BITS else "decimal(38,0)"
-
-    def _num(self, value: Column | int) -> Column:
-        return (F.lit(Decimal(value)) if isinstance(value, int) else value).cast(self.number)
-
-    def _shift(self, value: Column, bits: int) -> Column:
-        return (value * self._num(1 << bits)).cast(self.number)
-
-    def _split(self, value: Column, bits: int) -> tuple[Column, Column]:
-        """The part above the low bits, and the low bits as a number from 0."""
-        low = F.pmod(value, self._num(1 << bits))
-        return ((value - low) / F.lit(Decimal(1 << bits))).cast(self.number), low
-
-    def row(self) -> Column:
-        """The value of a row, to be computed before its words are exploded."""
-        if not self.packed:
-            return F.struct(*self.order)
-        value = self._num(F.col(self.order[0]))
-        for name, bits in list(zip(self.order, self.bits))[1:]:
-            value = (self._shift(value, bits) + self._num(F.col(name))).cast(self.number)
-        return self._shift(value, _POS_BITS)
-
-    def least(self, row: Column, pos: Column) -> Column:
-        """Aggregate: the least place."""
-        if not self.packed:
-            return F.min(F.struct(row.alias("row"), pos.alias("pos")))
-        return F.min((row + self._num(pos)).cast(self.number))
-
-    def struct(self, place: Column) -> Column:
-        """A place as a struct of the order columns and `pos`."""
-        if not self.packed:
-            row = place.getField("row")
-            fields = [row.getField(name).alias(name) for name in self.order]
-            return F.struct(*fields, place.getField("pos").alias("pos"))
-        rest, pos = self._split(place, _POS_BITS)
-        fields = [pos.cast("int").alias("pos")]
-        for name, dtype, bits in list(zip(self.order, self.types, self.bits))[:0:-1]:
-            half = self._num(1 << (bits - 1))
-            rest, low = self._split(rest + half, bits)
-            fields.insert(0, (low - half).cast(dtype).alias(name))
-        return F.struct(rest.cast(self.types[0]).alias(self.order[0]), *fields)
-
-
 def count_tokens(occurrences: DataFrame, order: Sequence[str]) -> DataFrame:
     """`(token_id, cnt, first_seen)` of occurrences; `first_seen` is the least struct of order columns and `pos`."""
-    places = Places(occurrences, _require_order(occurrences, order))
+    places = places_by_type(occurrences, _require_order(occurrences, order))
     counts = occurrences.groupBy("token_id").agg(
         F.count(F.lit(1)).alias("cnt"), places.least(places.row(), F.col("pos")).alias("_place")
     )
@@ -193,7 +127,8 @@ def count_corpus(
     Each task sends one row per distinct word, so no word is too frequent for the shuffle; only distinct words
     meet the vocabulary, whatever its size, and by the word they are partitioned by already.
     """
-    places = Places(df, _require_order(df, order))
+    order = _require_order(df, order)
+    places = measured_places(df, order, text, max_length if isinstance(max_length, int) else None)
     length = [max_length.alias("_length")] if isinstance(max_length, Column) else []
     rows = df.select(places.row().alias("_row"), F.col(text).alias("_text"), *length)
     words = pretokenize(rows, ["_row"], "_text", F.col("_length") if length else max_length, pattern)

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.functions import places
 from lexloom.operators import tokens
 from lexloom.operators.encoding import count_encoded_words
 from lexloom.operators.vocab import label_vocab, unused_tokens, used_tokens, with_token_text
@@ -113,6 +114,44 @@ def test_narrow_and_wide_order_columns(spark, vocab, dtype):
     assert {k: v[1] for k, v in got.items() if k != 2} == first
 
 
+@pytest.mark.parametrize("spread", [0, 1, 1000, 2**30, 2**50, 2**62])
+@pytest.mark.parametrize("start", [-(2**63), -7, 0, 2**61])
+def test_measured_places_whatever_the_range(spark, vocab, spread, start):
+    high = min(start + spread, 2**63 - 1)
+    rows = [(high, 3, "the a"), (start, 9, "a the"), (start, 2, "cat"), (high, 1, "dog dog")]
+    corpus = spark.createDataFrame(rows, "row bigint, part bigint, text string")
+    got = {k: v[1] for k, v in as_dict(tokens.count_corpus(corpus, vocab, ["row", "part"])).items() if k != 2}
+    want = {}
+    for row, part, text in sorted(rows):
+        for pos, token in enumerate(encode(text)):
+            want.setdefault(token, (row, part, pos))
+    del want[2]
+    assert got == want
+
+
+def test_form_of_places(spark):
+    corpus = spark.createDataFrame([(0, 1, "a" * 100), (2**40, 5, None)], "row bigint, part int, text string")
+    kind = lambda *args: type(places.measured_places(*args))
+    assert kind(corpus, ["row", "part"], "text") is places.LongPlaces
+    assert kind(corpus, ["row", "part", "row"], "text") is places.StructPlaces
+    assert kind(corpus.withColumn("row", F.col("row") * 2**20), ["row", "part"], "text") is places.DecimalPlaces
+    assert kind(corpus.withColumn("row", F.col("row") * 2**19), ["row", "part"], "text") is places.DecimalPlaces
+    assert kind(corpus.withColumn("row", F.col("row") * 2**18), ["row"], "text", 4) is places.LongPlaces
+    assert kind(corpus.limit(0), ["row"], "text") is places.DecimalPlaces
+    assert kind(corpus, ["text"], "text") is places.StructPlaces
+
+
+def test_a_corpus_that_changes_after_it_was_measured_fails(spark, vocab, tmp_path):
+    path = str(tmp_path / "corpus")
+    schema = "row bigint, text string"
+    spark.createDataFrame([(1, "the cat"), (2, "the")], schema).write.parquet(path)
+    corpus = spark.read.schema(schema).parquet(path)
+    places_now = places.measured_places(corpus, ["row"], "text")
+    for late in [(5, "the"), (1, "the cat sat")]:
+        with pytest.raises(Exception, match="corpus changed"):
+            spark.createDataFrame([late], schema).select(places_now.row()).collect()
+
+
 def test_words_are_counted_by_hash_before_the_only_large_shuffle(spark, vocab):
     corpus, _ = make_corpus(spark, 4)
     plan = tokens.count_corpus(corpus, vocab, ORDER, unk_id=0)._jdf.queryExecution().executedPlan().toString()
