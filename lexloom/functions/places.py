@@ -134,35 +134,37 @@ def places_by_type(df: DataFrame, order: Sequence[str]) -> Places:
     return DecimalPlaces(order, types) if width <= DECIMAL_BITS else StructPlaces(order)
 
 
+def _ranges(df: DataFrame, order: Sequence[str]) -> list[tuple[int, int]] | None:
+    bounds = [bound.cast("bigint") for name in order for bound in (F.min(name), F.max(name))]
+    found = tuple(df.agg(*[bound.alias(f"bound{i}") for i, bound in enumerate(bounds)]).first())
+    return None if None in found else list(zip(found[::2], found[1::2]))
+
+
 def measured_places(df: DataFrame, order: Sequence[str], text: str, max_length: int | None = None) -> Places:
-    """The best form that the order columns' values and the texts' lengths allow for.
+    """The best form that the order columns' values allow for.
 
-    One pass without any word splitting finds the ranges; it takes a few hundredths of the time of counting, and a
-    bigint saves far more than that. A known `max_length` spares it the texts.
+    A pass over the order columns alone finds their ranges. Only if they leave too little room for the position of
+    any word, and `max_length` does not limit it, a second pass finds the longest text; neither splits words, so
+    both take a few hundredths of the time of counting, and a bigint saves far more than that.
     """
     by_type = places_by_type(df, order)
     types = [df.schema[name].dataType for name in order]
     if isinstance(by_type, LongPlaces) or not all(type(dtype) in INTEGER_BITS for dtype in types):
         return by_type
-    length = F.lit(max_length).cast("bigint") if max_length is not None else F.max(F.octet_length(text)).cast("bigint")
-    ranges = [
-        bound.cast("bigint").alias(f"{kind}{i}")
-        for i, name in enumerate(order)
-        for kind, bound in (("low", F.min(name)), ("high", F.max(name)))
-    ]
-    found = df.agg(length.alias("length"), *ranges).first()
-    if any(value is None for value in found):
-        return by_type
-    lows = [found[f"low{i}"] for i in range(len(types))]
-    highs = [found[f"high{i}"] for i in range(len(types))]
-    bits = [max(1, (high - low).bit_length()) for low, high in zip(lows, highs)]
-    # A text has no more words than bytes.
-    pos_bits = max(1, found["length"].bit_length())
-    if sum(bits) + pos_bits > LONG_BITS or pos_bits > POS_BITS:
+    ranges = _ranges(df, order)
+    if ranges is None:
         return by_type
+    bits = [max(1, (high - low).bit_length()) for low, high in ranges]
     holds = F.lit(True)
-    for name, low, high in zip(order, lows, highs):
+    for name, (low, high) in zip(order, ranges):
         holds = holds & F.col(name).between(F.lit(low), F.lit(high))
-    if max_length is None:
-        holds = holds & (F.octet_length(text) <= F.lit(found["length"]))
-    return LongPlaces(order, types, lows, bits, pos_bits, holds)
+    pos_bits = POS_BITS
+    if sum(bits) + pos_bits > LONG_BITS > sum(bits):
+        # A text has no more words than bytes.
+        longest = max_length if max_length is not None else df.agg(F.max(F.octet_length(text))).first()[0] or 0
+        pos_bits = max(1, longest.bit_length())
+        if max_length is None:
+            holds = holds & F.coalesce(F.octet_length(text) <= F.lit(longest), F.lit(True))
+    if sum(bits) + pos_bits > LONG_BITS:
+        return by_type
+    return LongPlaces(order, types, [low for low, _ in ranges], bits, pos_bits, holds)

@@ -116,17 +116,21 @@ def count_placed_words(words: DataFrame, places: Places) -> DataFrame:
 def count_corpus(
     df: DataFrame,
     vocab: DataFrame,
-    order: Sequence[str],
+    order: Sequence[str] | None,
     text: str = "text",
     max_length: int | Column | None = None,
     unk_id: int | None = None,
     pattern: str = WORD_PATTERN,
 ) -> DataFrame:
-    """`count_tokens` of `tokenize`, by counting words first.
+    """`count_tokens` of `tokenize`, by counting words first; without `order` there is no `first_seen`.
 
     Each task sends one row per distinct word, so no word is too frequent for the shuffle; only distinct words
     meet the vocabulary, whatever its size, and by the word they are partitioned by already.
     """
+    if order is None:
+        counted = pretokenize(df, [], text, max_length, pattern).groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+        tokens = _with_ids(counted.join(_word_ids(vocab), "word", "left"), unk_id)
+        return tokens.groupBy("token_id").agg(F.sum("_n").alias("cnt"))
     order = _require_order(df, order)
     places = measured_places(df, order, text, max_length if isinstance(max_length, int) else None)
     length = [max_length.alias("_length")] if isinstance(max_length, Column) else []

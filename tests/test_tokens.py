@@ -63,6 +63,8 @@ def test_counts_and_first_occurrences(spark, vocab, monkeypatch, limit, max_leng
     corpus, data = make_corpus(spark, 1)
     counter, first = expected_counts(data, max_length)
     want = {token: (counter[token], first[token]) for token in counter}
+    plain = tokens.count_corpus(corpus, vocab, None, max_length=max_length, unk_id=0).collect()
+    assert {r["token_id"]: r["cnt"] for r in plain} == counter
     counted = tokens.count_corpus(corpus, vocab, ORDER, max_length=max_length, unk_id=0)
     assert as_dict(counted) == want
     occurrences = tokens.tokenize(corpus, vocab, ORDER, max_length=max_length, unk_id=0)
@@ -146,10 +148,11 @@ def test_a_corpus_that_changes_after_it_was_measured_fails(spark, vocab, tmp_pat
     schema = "row bigint, text string"
     spark.createDataFrame([(1, "the cat"), (2, "the")], schema).write.parquet(path)
     corpus = spark.read.schema(schema).parquet(path)
-    places_now = places.measured_places(corpus, ["row"], "text")
-    for late in [(5, "the"), (1, "the cat sat")]:
+    for far, late in [(1, (5, "the")), (2**40, (5, "the")), (2**40, (1, "the cat sat"))]:
+        rows = corpus.withColumn("row", F.col("row") * far)
+        places_now = places.measured_places(rows, ["row"], "text")
         with pytest.raises(Exception, match="corpus changed"):
-            spark.createDataFrame([late], schema).select(places_now.row()).collect()
+            spark.createDataFrame([(late[0] * far, late[1])], schema).select(places_now.row()).collect()
 
 
 def test_words_are_counted_by_hash_before_the_only_large_shuffle(spark, vocab):
@@ -191,6 +194,24 @@ def test_nothing_asked_nothing_given(spark, vocab):
     assert tuple(tokens.usage_summary(nothing).collect()[0]) == (0, 0)
 
 
+def test_a_word_that_is_most_of_the_corpus_is_shared_out(spark, vocab, monkeypatch):
+    monkeypatch.setattr(tokens, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(tokens, "MAX_SALTS", 64)
+    corpus = spark.createDataFrame([(1, i, "the cat the") for i in range(2000)], "part int, row bigint, text string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "64"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = tokens.tokenize(corpus, vocab, ORDER, unk_id=0)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(sizes) == 10_000 and max(sizes) < 1_000
+
+
 def test_null_text_has_no_words(spark, vocab):
     corpus = spark.createDataFrame([(1, 1, None), (1, 2, "")], "part int, row bigint, text string")
     assert tokens.count_corpus(corpus, vocab, ORDER, unk_id=0).isEmpty()

@@ -106,6 +106,12 @@ def _conversation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _plain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts without first occurrences, for what does not rank them."""
+    rows = extract_text(conversations(spark, sf_dir))
+    return count_corpus(rows, vocabulary(spark, sf_dir), None, unk_id=UNK_ID)
+
+
 def _written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized_counts(
         conversations(spark, sf_dir), vocabulary(spark, sf_dir), CONVERSATION_ORDER, unk_id=UNK_ID
@@ -284,7 +290,7 @@ def rare_tokens_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage_summary(_conversation_counts(spark, sf_dir))
+    return usage_summary(_plain_counts(spark, sf_dir))
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,26 +347,26 @@ def prunable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unused_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _conversation_counts(spark, sf_dir)
+    counts = _plain_counts(spark, sf_dir)
     return unused_tokens(vocabulary(spark, sf_dir), counts).select("token_id", "token")
 
 
 @query
 def unused_prunable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _conversation_counts(spark, sf_dir)
+    counts = _plain_counts(spark, sf_dir)
     return unused_tokens(vocabulary(spark, sf_dir), counts, prunable_only=True).select("token_id", "token")
 
 
 @query
 def first_unused_prunable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _conversation_counts(spark, sf_dir)
+    counts = _plain_counts(spark, sf_dir)
     unused = unused_tokens(vocabulary(spark, sf_dir), counts, prunable_only=True)
     return first_tokens(unused, REPORT_ROWS).select("rank", "token_id", "token")
 
 
 @query
 def used_prunable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _conversation_counts(spark, sf_dir)
+    counts = _plain_counts(spark, sf_dir)
     return used_tokens(vocabulary(spark, sf_dir), counts, prunable_only=True).select("token_id", "cnt")
 
 
