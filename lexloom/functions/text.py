@@ -48,7 +48,9 @@ def text_or_empty(col: Column, dtype: T.DataType) -> Column:
     return stringify(col, dtype, null_text="")
 
 
-def field_text(item: Column, struct: T.StructType, name: str, missing: str, null_text: str | None = NULL_TEXT) -> Column:
+def field_text(
+    item: Column, struct: T.StructType, name: str, missing: str, null_text: str | None = NULL_TEXT
+) -> Column:
     """A struct field as text; `missing` if the struct type has no such field."""
     if name not in struct.names:
         return F.lit(missing)

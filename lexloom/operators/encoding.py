@@ -51,5 +51,6 @@ def count_encoded_words(df: DataFrame, definition: str, order: Sequence[str], te
     counts = ids.groupBy("token_id").agg(
         F.sum("_n").alias("cnt"), F.min("_place").alias("_place"), F.min_by(offset, "_place").alias("offset")
     )
-    first_seen = F.struct(*[places.struct(F.col("_place")).getField(name).alias(name) for name in (*order, "pos")], "offset")
+    place = places.struct(F.col("_place"))
+    first_seen = F.struct(*[place.getField(name).alias(name) for name in (*order, "pos")], "offset")
     return counts.select("token_id", "cnt", first_seen.alias("first_seen"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from lexloom.schemas import DEFAULT_REPORT_ROWS, DEFAULT_TOP_K, UNBOUNDED_LENGTH
 BROADCAST_BYTES = 64 << 20
 _ROW_OVERHEAD_BYTES = 64
 
+# No array of words is longer, so a greater limit is none.
+MAX_WORDS = (1 << 31) - 1
+
 # At most so many copies of a larger vocabulary share the rows of a frequent word.
 MAX_SALTS = 1_024
 
@@ -40,8 +44,8 @@ def pretokenize(
     """One row per word of a text, numbered from 0 as `pos`, at most `max_length` per text."""
     words = split_words(F.col(text), pattern)
     if max_length is not None:
-        length = max_length if isinstance(max_length, Column) else F.lit(max_length)
-        words = F.slice(words, F.lit(1), length.cast("int"))
+        length = max_length if isinstance(max_length, Column) else F.lit(Decimal(max_length))
+        words = F.slice(words, F.lit(1), F.least(length, F.lit(MAX_WORDS)).cast("int"))
     return df.select(*order, F.posexplode(words).alias("pos", "word"))
 
 

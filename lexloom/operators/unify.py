@@ -92,12 +92,9 @@ def unify_by_source(
         source = F.coalesce(F.col("source").cast("string"), F.lit(NULL_TEXT))
     else:
         source = F.lit(UNKNOWN_SOURCE)
-    fallback = qa_messages(df, options) if unknown == "qa" else system_only_messages(options)
-    messages = reduce(
-        lambda otherwise, item: F.when(source == item[0], item[1](df, options).cast(MESSAGES_TYPE)).otherwise(otherwise),
-        _BUILDERS.items(),
-        fallback,
-    )
+    messages = qa_messages(df, options) if unknown == "qa" else system_only_messages(options)
+    for name, builder in _BUILDERS.items():
+        messages = F.when(source == name, builder(df, options).cast(MESSAGES_TYPE)).otherwise(messages)
     if unknown == "system_only":
         source = F.when(source == "", UNKNOWN_SOURCE).otherwise(source)
     return df.select(*keep, messages.alias("messages"), source.alias("source"))

@@ -217,6 +217,14 @@ def test_null_text_has_no_words(spark, vocab):
     assert tokens.count_corpus(corpus, vocab, ORDER, unk_id=0).isEmpty()
 
 
+@pytest.mark.parametrize("limit", [10**30, "10**18", 10**6])
+def test_limits_beyond_any_text(spark, vocab, limit):
+    corpus, data = make_corpus(spark, 8)
+    limit = F.lit(10**18) if limit == "10**18" else limit
+    got = as_dict(tokens.count_corpus(corpus, vocab, ORDER, max_length=limit, unk_id=0))
+    assert {k: v[0] for k, v in got.items()} == expected_counts(data)[0]
+
+
 def test_order_is_required(spark, vocab):
     corpus, _ = make_corpus(spark, 7)
     for order in ([], ["absent"]):

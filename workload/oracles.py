@@ -346,7 +346,8 @@ def all_oracles() -> dict[str, str]:
         "usage_summary_document": query(
             *conversation,
             TOP,
-            select="SELECT 'conversations' AS dataset, 'text,messages,conversations,instruction,output' AS text_columns, "
+            select="SELECT 'conversations' AS dataset, "
+            "'text,messages,conversations,instruction,output' AS text_columns, "
             f"{SUMMARY_TOP_K} AS top_k, (SELECT count(*) FROM counts) AS unique_token_count, "
             "(SELECT CAST(sum(cnt) AS BIGINT) FROM counts) AS total_token_count, rank - 1 AS pos, "
             "t.token_id, token, cnt FROM top t LEFT JOIN vocab ON t.token_id = vocab.token_id",
