@@ -1,31 +1,70 @@
-"""Materializing small or key-only tables so that several passes see the same rows."""
+"""Writing tables down once, so that several passes see the same rows and a lost executor costs no recomputation."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders written by `materialize`, by application, until they are cleared.
+_written: dict[str, list[str]] = {}
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own setting, or a scratch folder in local mode only."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`, or a scratch folder in local mode only."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
     current = context.getCheckpointDir()
     if current:
         return current
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="lexloom-checkpoints-")
-    context.setCheckpointDir(shared)
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-checkpoints-"))
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder now and continue from the written copy.
+def new_folder(spark: SparkSession) -> str:
+    """A path below the shared folder that nothing uses yet; `clear_materialized` deletes what is written there."""
+    path = f"{shared_folder(spark).rstrip('/')}/lexloom-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write `df` as Parquet below the shared folder now and continue from the written copy.
 
-    Meant for vocabulary-sized tables and for key columns, not for whole corpora.
+    The rows come back in the layout they were written in, possibly in other partitions. The files stay until
+    `release` or `clear_materialized`, as the result may be read at any later time.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = new_folder(spark)
+    df.write.partitionBy(*partition_by).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    written._lexloom_path = path
+    return written
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files behind a frame that `materialize` returned; nothing may read it afterwards."""
+    path = getattr(df, "_lexloom_path", None)
+    paths = _written.get(df.sparkSession.sparkContext.applicationId, [])
+    if path in paths:
+        paths.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def clear_materialized(spark: SparkSession) -> int:
+    """Delete everything `materialize` has written in this application; returns the number of folders."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)

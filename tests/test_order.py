@@ -117,6 +117,6 @@ def test_dedupe_keeps_the_first_and_limits_groups_before_the_shuffle(spark):
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
-    from lexloom.checkpoints import ensure_checkpoint_dir
+    from lexloom.checkpoints import shared_folder
 
-    assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+    assert shared_folder(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
