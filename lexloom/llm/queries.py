@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, embeddings, language, mixing, secrets, sharding, simhash, warc
+from lexloom.llm import bpe, embeddings, language, mixing, quality, secrets, sharding, simhash, warc
 from lexloom.llm.shared import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -45,6 +45,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.digest(ids, ranks, public_tokenizers.PATTERN).alias("d")).select("doc_id", "d.*")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -123,7 +127,7 @@ FROM rated
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op3_embedding_dedup, op4_mixing, op5_secrets, op6_bpe, op8_language, op9_sharding, op10_simhash)
+    found = (op1_warc, op3_embedding_dedup, op4_mixing, op5_secrets, op6_bpe, op7_quality, op8_language, op9_sharding, op10_simhash)
     return {f.__name__: f for f in found}
 
 
