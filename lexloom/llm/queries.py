@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, embeddings, language, mixing, quality, secrets, sharding, simhash, warc
+from lexloom.llm import bpe, embeddings, katz, language, mixing, quality, secrets, sharding, simhash, warc
 from lexloom.llm.shared import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("error")
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"), order=2)
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -127,7 +131,7 @@ FROM rated
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op3_embedding_dedup, op4_mixing, op5_secrets, op6_bpe, op7_quality, op8_language, op9_sharding, op10_simhash)
+    found = (op1_warc, op2_katz, op3_embedding_dedup, op4_mixing, op5_secrets, op6_bpe, op7_quality, op8_language, op9_sharding, op10_simhash)
     return {f.__name__: f for f in found}
 
 
