@@ -16,6 +16,8 @@ KEY_BITS = 64
 WITHIN_BITS = 24
 # A splitter holds if it is off by at most this share of a shard's bytes.
 TOLERANCE = 0.002
+# A group of equal texts is only cut if a splitter beside it would be off by more than this share.
+GROUP_TOLERANCE = 0.005
 
 
 def shard_key(text: Column, key: Column) -> Column:
@@ -39,11 +41,10 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE)
 
     Each round sums bytes by the next few bits of those keys whose leading bits hold an unsettled splitter: at most
     2^`ROUND_BITS` sums per splitter, aggregated in each task before the shuffle. The sums before a candidate are exact
-    at every round. A splitter is settled at the candidate nearest to its target once it is within the tolerance, or
-    when there are no bits left.
+    at every round. A splitter is settled at the candidate nearest to its target once it is within the tolerance, which
+    is wider where finer candidates would cut groups of equal texts, or when there are no bits left.
     """
     total = keyed.agg(F.sum("_size").alias("n")).first()["n"] or 0
-    slack = tolerance * total / shards
     targets = {i: total * i / shards for i in range(1, shards)}
     settled: dict[int, int] = {}
     # For an unsettled splitter: the leading bits that hold it and the bytes before them.
@@ -51,6 +52,8 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE)
     bits = 0
     while inside and total:
         bits += ROUND_BITS
+        share = max(tolerance, GROUP_TOLERANCE) if bits == KEY_BITS - WITHIN_BITS else tolerance
+        slack = share * total / shards
         rows = keyed
         if bits > ROUND_BITS:
             open_prefixes = sorted({prefix for prefix, _ in inside.values()})
