@@ -3,7 +3,8 @@
 Structs cannot be updated in place, so a minimum over them would make Spark sort all occurrences. A number per
 place keeps the aggregation hash-based: a bigint, which also takes Spark's fastest hash map, or a wide decimal.
 All classes offer `row`, to be computed before a row's words are exploded, `least`, the aggregate over words, and
-`struct`, which turns the result back into the order columns and `pos`.
+`struct`, which turns the result back into the order columns and `pos`. In all of them a null order column comes
+before every value, as it does in a sort, so the least place does not depend on a column's type.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class StructPlaces:
 
 
 class DecimalPlaces:
-    """Integer order columns of up to 96 bits."""
+    """Integer order columns of up to 96 bits, as digits of a number; each has one digit more than values, for null."""
 
     def __init__(self, order: Sequence[str], types: Sequence[T.DataType]) -> None:
         self.order = list(order)
@@ -52,35 +53,35 @@ class DecimalPlaces:
     def _num(value: Column | int) -> Column:
         return (F.lit(Decimal(value)) if isinstance(value, int) else value).cast(DECIMAL)
 
-    def _shift(self, value: Column, bits: int) -> Column:
-        return (value * self._num(1 << bits)).cast(DECIMAL)
-
-    def _split(self, value: Column, bits: int) -> tuple[Column, Column]:
-        """The part above the low bits, and the low bits as a number from 0."""
-        low = F.pmod(value, self._num(1 << bits))
-        return ((value - low) / F.lit(Decimal(1 << bits))).cast(DECIMAL), low
-
     def row(self) -> Column:
-        value = self._num(F.col(self.order[0]))
+        # The first column keeps its sign, so that the number stays within a decimal; null is one below its least value.
+        value = F.coalesce(self._num(F.col(self.order[0])), self._num(-(1 << (self.bits[0] - 1)) - 1))
         for name, bits in list(zip(self.order, self.bits))[1:]:
-            value = (self._shift(value, bits) + self._num(F.col(name))).cast(DECIMAL)
-        return self._shift(value, POS_BITS)
+            digit = F.coalesce(self._num(F.col(name)) + self._num((1 << (bits - 1)) + 1), self._num(0)).cast(DECIMAL)
+            value = ((value * self._num((1 << bits) + 1)).cast(DECIMAL) + digit).cast(DECIMAL)
+        return (value * self._num(1 << POS_BITS)).cast(DECIMAL)
 
     def least(self, row: Column, pos: Column) -> Column:
         return F.min((row + self._num(pos)).cast(DECIMAL))
 
+    def _split(self, value: Column, base: int) -> tuple[Column, Column]:
+        """The digits above the last, and the last."""
+        low = F.pmod(value, self._num(base))
+        return ((value - low) / F.lit(Decimal(base))).cast(DECIMAL), low
+
     def struct(self, place: Column) -> Column:
-        rest, pos = self._split(place, POS_BITS)
+        rest, pos = self._split(place, 1 << POS_BITS)
         fields = [pos.cast("int").alias("pos")]
         for name, dtype, bits in list(zip(self.order, self.types, self.bits))[:0:-1]:
-            half = self._num(1 << (bits - 1))
-            rest, low = self._split(rest + half, bits)
-            fields.insert(0, (low - half).cast(dtype).alias(name))
-        return F.struct(rest.cast(self.types[0]).alias(self.order[0]), *fields)
+            rest, digit = self._split(rest, (1 << bits) + 1)
+            value = F.when(digit > 0, digit - self._num((1 << (bits - 1)) + 1))
+            fields.insert(0, value.cast(dtype).alias(name))
+        first = F.when(rest >= self._num(-(1 << (self.bits[0] - 1))), rest)
+        return F.struct(first.cast(self.types[0]).alias(self.order[0]), *fields)
 
 
 class LongPlaces:
-    """Integer order columns whose values, counted from `starts`, fit 63 bits together with a position.
+    """Integer order columns whose values, counted from 1 at `starts`, fit 63 bits together with a position; 0 is null.
 
     `holds` is checked for every row, so that a corpus that changes after it was measured fails the job.
     """
@@ -101,7 +102,8 @@ class LongPlaces:
     def row(self) -> Column:
         value = F.lit(0).cast("bigint")
         for name, start, bits in zip(self.order, self.starts, self.bits):
-            value = F.shiftleft(value, bits).bitwiseOR(F.col(name).cast("bigint") - F.lit(start).cast("bigint"))
+            part = F.coalesce(F.col(name).cast("bigint") - F.lit(start - 1).cast("bigint"), F.lit(0).cast("bigint"))
+            value = F.shiftleft(value, bits).bitwiseOR(part)
         value = F.shiftleft(value, self.pos_bits)
         if self.holds is None:
             return value
@@ -115,8 +117,9 @@ class LongPlaces:
         fields = [place.bitwiseAND(F.lit((1 << self.pos_bits) - 1)).cast("int").alias("pos")]
         place = F.shiftrightunsigned(place, self.pos_bits)
         for name, dtype, start, bits in list(zip(self.order, self.types, self.starts, self.bits))[::-1]:
-            part = place.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")) + F.lit(start).cast("bigint")
-            fields.insert(0, part.cast(dtype).alias(name))
+            part = place.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+            value = F.when(part > 0, part + F.lit(start - 1).cast("bigint"))
+            fields.insert(0, value.cast(dtype).alias(name))
             place = F.shiftrightunsigned(place, bits)
         return F.struct(*fields)
 
@@ -128,43 +131,37 @@ def places_by_type(df: DataFrame, order: Sequence[str]) -> Places:
     """The best form that the order columns' types allow for."""
     types = [df.schema[name].dataType for name in order]
     bits = [INTEGER_BITS.get(type(dtype), DECIMAL_BITS) for dtype in types]
-    width = sum(bits) + POS_BITS
-    if width <= LONG_BITS:
-        return LongPlaces(order, types, [-(1 << (n - 1)) for n in bits], bits, POS_BITS)
-    return DecimalPlaces(order, types) if width <= DECIMAL_BITS else StructPlaces(order)
+    if sum(bits) + len(bits) + POS_BITS <= LONG_BITS:
+        return LongPlaces(order, types, [-(1 << (n - 1)) for n in bits], [n + 1 for n in bits], POS_BITS)
+    return DecimalPlaces(order, types) if sum(bits) + POS_BITS <= DECIMAL_BITS else StructPlaces(order)
 
 
-def _ranges(df: DataFrame, order: Sequence[str]) -> list[tuple[int, int]] | None:
+def _ranges(df: DataFrame, order: Sequence[str]) -> list[tuple[int, int]]:
+    """The least and the greatest value of each order column; (0, -1) where all are null."""
     bounds = [bound.cast("bigint") for name in order for bound in (F.min(name), F.max(name))]
     found = tuple(df.agg(*[bound.alias(f"bound{i}") for i, bound in enumerate(bounds)]).first())
-    return None if None in found else list(zip(found[::2], found[1::2]))
+    return [(0, -1) if low is None else (low, high) for low, high in zip(found[::2], found[1::2])]
 
 
-def measured_places(df: DataFrame, order: Sequence[str], text: str, max_length: int | None = None) -> Places:
+def measured_places(df: DataFrame, order: Sequence[str], max_length: int | None = None) -> Places:
     """The best form that the order columns' values allow for.
 
-    A pass over the order columns alone finds their ranges. Only if they leave too little room for the position of
-    any word, and `max_length` does not limit it, a second pass finds the longest text; neither splits words, so
-    both take a few hundredths of the time of counting, and a bigint saves far more than that.
+    Runs one job over the order columns alone when called, unless their types decide; texts are not read. If their
+    ranges leave too little room for the position of any word, and `max_length` does not limit it, the form is the one
+    that the types allow for.
     """
     by_type = places_by_type(df, order)
     types = [df.schema[name].dataType for name in order]
     if isinstance(by_type, LongPlaces) or not all(type(dtype) in INTEGER_BITS for dtype in types):
         return by_type
     ranges = _ranges(df, order)
-    if ranges is None:
+    bits = [max(1, (high - low + 1).bit_length()) for low, high in ranges]
+    pos_bits = POS_BITS
+    if sum(bits) + pos_bits > LONG_BITS and max_length is not None:
+        pos_bits = min(POS_BITS, max(1, max_length.bit_length()))
+    if sum(bits) + pos_bits > LONG_BITS or any(low == -(1 << 63) for low, _ in ranges):
         return by_type
-    bits = [max(1, (high - low).bit_length()) for low, high in ranges]
     holds = F.lit(True)
     for name, (low, high) in zip(order, ranges):
-        holds = holds & F.col(name).between(F.lit(low), F.lit(high))
-    pos_bits = POS_BITS
-    if sum(bits) + pos_bits > LONG_BITS > sum(bits):
-        # A text has no more words than bytes.
-        longest = max_length if max_length is not None else df.agg(F.max(F.octet_length(text))).first()[0] or 0
-        pos_bits = max(1, longest.bit_length())
-        if max_length is None:
-            holds = holds & F.coalesce(F.octet_length(text) <= F.lit(longest), F.lit(True))
-    if sum(bits) + pos_bits > LONG_BITS:
-        return by_type
+        holds = holds & F.coalesce(F.col(name).between(F.lit(low), F.lit(high)), F.lit(True))
     return LongPlaces(order, types, [low for low, _ in ranges], bits, pos_bits, holds)

@@ -16,8 +16,8 @@ from lexloom.schemas import DEFAULT_SAMPLE_ROWS, DEFAULT_SEED
 # monotonically_increasing_id keeps the row's place within its partition in the low bits.
 _PLACE_BITS = 33
 
-# From this table size on, `head_rows` looks for a cut-off value before it takes the first keys.
-NARROW_FROM_ROWS = 10_000_000
+# Up to so many first rows, their keys come to the driver; for more, all keys are numbered where they are.
+FEW_ROWS = 10_000
 
 # Drawn rows are sent to every executor up to the first number, and listed in the plan up to the second.
 BROADCAST_ROWS = 100_000
@@ -42,25 +42,25 @@ def number_rows(df: DataFrame, *sort: Column | str, name: str = "row_no", total:
     placed = materialize(
         df.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
-        .withColumn("_slot", F.monotonically_increasing_id())
+        .withColumn("_nr_slot", F.monotonically_increasing_id())
     )
     placed = placed.select(
         *df.columns,
-        F.shiftrightunsigned("_slot", _PLACE_BITS).alias("_part"),
-        F.col("_slot").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("_place"),
+        F.shiftrightunsigned("_nr_slot", _PLACE_BITS).alias("_nr_part"),
+        F.col("_nr_slot").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("_nr_place"),
     )
     # One row per partition, so neither the window nor the broadcast grows with the table.
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = placed.groupBy("_nr_part").agg(F.count(F.lit(1)).alias("_nr_size"))
+    before = Window.orderBy("_nr_part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_nr_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = sizes.select(
-        "_part",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
-        F.sum("_size").over(everything).alias("_total"),
+        "_nr_part",
+        F.coalesce(F.sum("_nr_size").over(before), F.lit(0)).alias("_nr_start"),
+        F.sum("_nr_size").over(everything).alias("_nr_total"),
     )
-    numbered = placed.join(F.broadcast(starts), "_part")
-    extra = [F.col("_total").alias(total)] if total else []
-    return numbered.select(*df.columns, (F.col("_start") + F.col("_place")).alias(name), *extra)
+    numbered = placed.join(F.broadcast(starts), "_nr_part")
+    extra = [F.col("_nr_total").alias(total)] if total else []
+    return numbered.select(*df.columns, (F.col("_nr_start") + F.col("_nr_place")).alias(name), *extra)
 
 
 def number_keys(df: DataFrame, order: Sequence[str], name: str = "row_no") -> tuple[DataFrame, int]:
@@ -77,7 +77,7 @@ def number_keys(df: DataFrame, order: Sequence[str], name: str = "row_no") -> tu
 
 
 def with_row_keys(df: DataFrame, order: Sequence[str], source: str = "source", name: str = "row_key") -> DataFrame:
-    """Add `<source>-<n>` keys, with one counter running over all sources in the given order.
+    """Add `<source>-<n>` keys, with one counter running over all sources in the given order. Runs jobs when called.
 
     Only the order columns are sorted and numbered; the rows then meet their numbers in one join.
     """
@@ -88,10 +88,6 @@ def with_row_keys(df: DataFrame, order: Sequence[str], source: str = "source", n
     return keyed.withColumn(name, key).drop("_row_no")
 
 
-def _is_number(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.NumericType)
-
-
 def _at_most(name: str, bound) -> Column:
     """Order column not after `bound`, nulls first; a plain comparison, which reaches the file scan."""
     if bound is None:
@@ -99,45 +95,41 @@ def _at_most(name: str, bound) -> Column:
     return F.col(name).isNull() | (F.col(name) <= F.lit(bound))
 
 
-def _narrow_keys(keys: DataFrame, first: str, n: int, total: int) -> DataFrame:
-    """Drop keys that cannot be among the first n, by a cut-off that is checked to leave more than n."""
-    share = n / total
-    shares = [min(1.0, 2 * share + 0.001), min(1.0, 4 * share + 0.01)]
-    cuts = keys.agg(F.percentile_approx(first, shares, 10_000).alias("cuts")).first()["cuts"] or []
-    if not cuts:
-        return keys
-    left = keys.agg(*[F.count_if(_at_most(first, cut)).alias(f"c{i}") for i, cut in enumerate(cuts)]).first()
-    for cut, rows in zip(cuts, left):
-        if rows > n:
-            return keys.where(_at_most(first, cut))
-    return keys
+def _cut(keys: DataFrame, order: list[str], n: int) -> tuple | None:
+    """The keys of row n + 1 and of row n; None if there are no more than n rows."""
+    if n <= FEW_ROWS:
+        first = keys.orderBy(*order).limit(n + 1).collect()
+        return (first[n], first[n - 1]) if len(first) > n else None
+    numbered = number_rows(keys, *order, name="_no")
+    found = {row["_no"]: row for row in numbered.where(F.col("_no").isin(n - 1, n)).collect()}
+    return (found[n], found[n - 1]) if n in found else None
 
 
 def head_rows(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
     """The first n rows in order; None keeps all, 0 keeps none.
 
-    The cut is found on the order columns alone. The rows are then filtered where they lie, so the result
-    stays spread over the cluster, unlike that of a sort with a limit.
+    The cut is found on the order columns alone, by jobs that run when called: from their first n if those are few, and
+    by numbering all keys in sorted ranges if not. The rows are then filtered where they lie, so the result stays
+    spread over the cluster, unlike that of a sort with a limit. Rows with the keys of the cut itself are taken in
+    any choice that makes n.
     """
     order = _require_order(df, order)
     if n is None:
         return df
     if n <= 0:
         return df.limit(0)
-    total = df.count()
-    if total <= n:
+    cut = _cut(df.select(*order), order, n)
+    if cut is None:
         return df
-    keys = df.select(*order)
-    if total >= NARROW_FROM_ROWS and _is_number(df, order[0]):
-        keys = _narrow_keys(keys, order[0], n, total)
-    first_out, last_in = (
-        keys.orderBy(*order).limit(n + 1).orderBy(*[F.desc(name) for name in order]).limit(2).collect()
-    )
-    bound = F.struct(*[F.lit(first_out[name]).cast(df.schema[name].dataType).alias(name) for name in order])
+    first_out, last_in = ([row[name] for name in order] for row in cut)
+    bound = F.struct(*[F.lit(v).cast(df.schema[name].dataType).alias(name) for name, v in zip(order, first_out)])
+    near = df.where(_at_most(order[0], first_out[0]))
+    before = near.where(F.struct(*order) < bound)
     if first_out != last_in:
-        return df.where(_at_most(order[0], first_out[order[0]]) & (F.struct(*order) < bound))
-    # The cut runs through equal keys: any of them will do, but only n rows may remain.
-    return df.where(_at_most(order[0], first_out[order[0]]) & (F.struct(*order) <= bound)).orderBy(*order).limit(n)
+        return before
+    # The cut runs through equal keys; only as many of them may remain as are missing.
+    missing = n - before.select(*order).count()
+    return before.unionByName(near.where(F.struct(*order) == bound).limit(missing))
 
 
 def sample_rows(
@@ -160,7 +152,10 @@ def _if_few(df: DataFrame, rows: int) -> DataFrame:
 def draw_rows(
     df: DataFrame, order: Sequence[str], k: int = DEFAULT_SAMPLE_ROWS, seed: int = DEFAULT_SEED
 ) -> DataFrame:
-    """k rows at the positions that Python's seeded `random.sample` draws; adds `draw` (from 1) and `row_no`."""
+    """k rows at the positions that Python's seeded `random.sample` draws; adds `draw` (from 1) and `row_no`.
+
+    Runs jobs when called, and lists k positions on the driver; for many rows use `sample_rows`.
+    """
     order = _require_order(df, order)
     numbered, total = number_keys(df, order)
     drawn = random.Random(seed).sample(range(total), k=min(k, total))
@@ -175,8 +170,21 @@ def draw_rows(
     return df.join(_if_few(picked, k), order)
 
 
+def _digest(df: DataFrame, names: Sequence[str]) -> Column:
+    """256 bits that tell values of columns apart, nulls included."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256))
+
+
 def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first in order. Spark keeps one row per key and task before it shuffles."""
+    """One row per key, the first in order; of rows that agree in keys and order, any one.
+
+    Keys are told apart by a digest. Each task keeps one order per digest before the shuffle, so a group of copies of any
+    size is harmless; whole rows are only joined with what is kept, by digest and place, and never sorted by content.
+    """
     order = _require_order(df, order)
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where("_rank = 1").drop("_rank")
+    marked = df.withColumns({"_digest": _digest(df, list(keys)), "_place": _digest(df, order)})
+    first = F.min(F.struct(*order, "_place"))
+    kept = marked.groupBy("_digest").agg(first.alias("_first")).select("_digest", F.col("_first._place").alias("_place"))
+    rows = marked.join(kept, ["_digest", "_place"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("_digest", "_place").orderBy("_place"))
+    return rows.withColumn("_again", again).where("_again = 1").drop("_again", "_digest", "_place")

@@ -9,19 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.places import Places, measured_places, places_by_type
+from lexloom.operators.lookup import attach
 from lexloom.operators.order import _require_order
 from lexloom.schemas import DEFAULT_REPORT_ROWS, DEFAULT_TOP_K, UNBOUNDED_LENGTH, WORD_PATTERN
 
 # A vocabulary is sent to every executor only below this size, measured before each use.
 BROADCAST_BYTES = 64 << 20
-_ROW_OVERHEAD_BYTES = 64
 
 # No array of words is longer, so a greater limit is none.
 MAX_WORDS = (1 << 31) - 1
 
-# At most so many copies of a larger vocabulary share the rows of a frequent word.
-MAX_SALTS = 1_024
-
 
 def effective_max_length(model_max: Column, position_max: Column | None = None) -> Column:
     """The tokenizer's limit, or the model's number of positions where the former is practically unbounded."""
@@ -58,14 +55,6 @@ def _word_ids(vocab: DataFrame) -> DataFrame:
     )
 
 
-def fits_broadcast(vocab: DataFrame) -> bool:
-    """Whether a vocabulary, as measured now, is small enough for every executor."""
-    size = vocab.agg(
-        F.coalesce(F.sum(F.octet_length("token")), F.lit(0)) + F.count(F.lit(1)) * _ROW_OVERHEAD_BYTES
-    )
-    return size.first()[0] <= BROADCAST_BYTES
-
-
 def _with_ids(joined: DataFrame, unk_id: int | None) -> DataFrame:
     if unk_id is None:
         return joined.where(F.col("token_id").isNotNull())
@@ -83,21 +72,13 @@ def tokenize(
 ) -> DataFrame:
     """Occurrences `(order…, pos, token_id)` of a corpus's words.
 
-    Words outside the vocabulary become `unk_id`, or are left out if that is None. A vocabulary of checked
-    size meets the words where they are. A larger one is copied under a few salts, and the words are spread
-    over those, so that a frequent word is shared out.
+    Words outside the vocabulary become `unk_id`, or are left out if that is None. A vocabulary of checked size meets
+    the words where they are. Of a larger one, only the entries of the most frequent words do, a bounded number that is
+    counted first; other words meet the rest by a plain join. Runs jobs for the size and those words when called.
     """
     order = _require_order(df, order)
     words = pretokenize(df, order, text, max_length, pattern)
-    ids = _word_ids(vocab)
-    if fits_broadcast(vocab):
-        joined = words.join(F.broadcast(ids), "word", "left")
-    else:
-        # As many salts as partitions: a word that makes up a third of all rows then fills no partition.
-        salts = min(MAX_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        salted = words.withColumn("_salt", F.pmod(F.xxhash64(*order, "pos"), F.lit(salts)).cast("int"))
-        copies = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = salted.join(copies, ["word", "_salt"], "left")
+    joined = attach(words, _word_ids(vocab), ["word"], [*order, "pos"], BROADCAST_BYTES)
     return _with_ids(joined, unk_id).select(*order, "pos", "token_id")
 
 
@@ -129,14 +110,15 @@ def count_corpus(
     """`count_tokens` of `tokenize`, by counting words first; without `order` there is no `first_seen`.
 
     Each task sends one row per distinct word, so no word is too frequent for the shuffle; only distinct words
-    meet the vocabulary, whatever its size, and by the word they are partitioned by already.
+    meet the vocabulary, whatever its size, and by the word they are partitioned by already. With `order`, a job over
+    the order columns may run when called.
     """
     if order is None:
         counted = pretokenize(df, [], text, max_length, pattern).groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
         tokens = _with_ids(counted.join(_word_ids(vocab), "word", "left"), unk_id)
         return tokens.groupBy("token_id").agg(F.sum("_n").alias("cnt"))
     order = _require_order(df, order)
-    places = measured_places(df, order, text, max_length if isinstance(max_length, int) else None)
+    places = measured_places(df, order, max_length if isinstance(max_length, int) else None)
     length = [max_length.alias("_length")] if isinstance(max_length, Column) else []
     rows = df.select(places.row().alias("_row"), F.col(text).alias("_text"), *length)
     words = pretokenize(rows, ["_row"], "_text", F.col("_length") if length else max_length, pattern)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.checkpoints import materialize
@@ -14,10 +14,10 @@ from lexloom.operators.tokens import count_corpus, first_tokens, rare_tokens, to
 from lexloom.operators.vocab import unused_tokens, with_token_text
 from lexloom.plans.eviction import materialized_counts
 from lexloom.schemas import (
-    DEFAULT_REPORT_LIMIT,
     DEFAULT_REPORT_ROWS,
     DEFAULT_TEXT_COLUMNS,
     DEFAULT_TOP_K,
+    REPORT_LINE,
     WORD_PATTERN,
 )
 
@@ -56,9 +56,7 @@ def usage_report(counts: DataFrame, vocab: DataFrame, n: int = DEFAULT_REPORT_RO
 
 def report_lines(report: DataFrame) -> DataFrame:
     """The low-frequency section as text lines with zero-padded ranks."""
-    line = F.format_string(
-        "%02d. TOKEN_ID=%d | STR='%s' | OCC=%d", F.col("rank"), F.col("token_id"), F.col("token"), F.col("value")
-    )
+    line = F.format_string(REPORT_LINE, F.col("rank"), F.col("token_id"), F.col("token"), F.col("value"))
     return report.where("section = 'low_frequency'").select("rank", line.alias("line"))
 
 
@@ -66,28 +64,32 @@ def report_usage(
     corpus: DataFrame,
     vocab: DataFrame,
     order: Sequence[str],
-    limit: int | None = DEFAULT_REPORT_LIMIT,
+    limit: int | None = None,
     n: int = DEFAULT_REPORT_ROWS,
     unk_id: int | None = None,
     columns: Sequence[str] | None = None,
     pattern: str = WORD_PATTERN,
 ) -> DataFrame:
-    """The usage report of a corpus's first rows."""
+    """The usage report of a corpus, or of its first `limit` rows."""
     rows = head_rows(corpus, order, limit)
     counts = materialized_counts(rows, vocab, order, unk_id=unk_id, columns=columns, pattern=pattern)
     return usage_report(counts, vocab, n)
 
 
+def _setting(value: object) -> Column:
+    """A setting with a type that every format can write: bigint, double, boolean, string or an array of strings."""
+    if isinstance(value, (list, tuple)):
+        return F.array(*[F.lit(v) for v in value]).cast("array<string>")
+    if isinstance(value, int) and not isinstance(value, bool):
+        return F.lit(value).cast("bigint")
+    return F.lit(value).cast("string") if value is None else F.lit(value)
+
+
 def usage_document(
     counts: DataFrame, vocab: DataFrame, config: dict[str, object], k: int = DEFAULT_TOP_K
 ) -> DataFrame:
     """One row: the settings, the totals and the k most frequent tokens. Pass counts that have been materialized."""
-    settings = F.struct(
-        *[
-            (F.array(*[F.lit(v) for v in value]) if isinstance(value, (list, tuple)) else F.lit(value)).alias(name)
-            for name, value in config.items()
-        ]
-    )
+    settings = F.struct(*[_setting(value).alias(name) for name, value in config.items()])
     top = with_token_text(top_tokens(counts, k), vocab)
     entry = F.struct("rank", "token_id", "token", F.col("cnt").alias("count")).alias("entry")
     no_total = F.lit(None).cast("bigint")
@@ -136,4 +138,6 @@ def summarize_usage(
         "sample_limit": limit,
         "top_k": k,
     }
-    return usage_document(counts, vocab, settings, k)
+    document = usage_document(counts, vocab, settings, k)
+    # A missing limit has the type of a given one.
+    return document.withColumn("config", F.col("config").withField("sample_limit", F.col("config.sample_limit").cast("bigint")))

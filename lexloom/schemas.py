@@ -17,11 +17,17 @@ DEFAULT_TEXT_COLUMNS = ("text", "messages", "conversations", "instruction", "out
 DEFAULT_EVICTION_RATIO = 0.3
 DEFAULT_TOP_K = 200
 DEFAULT_REPORT_ROWS = 30
-DEFAULT_REPORT_LIMIT = 10_000
 DEFAULT_SAMPLE_ROWS = 3
 DEFAULT_SEED = 42
 UNBOUNDED_LENGTH = 100_000
 
+# Formats and texts of the reports.
+REPORT_LINE = "%02d. TOKEN_ID=%d | STR='%s' | OCC=%d"
+NO_COLUMNS = "컬럼 정보 없음"
+NO_SAMPLE = "샘플 없음"
+LOAD_FAILED = "로드 실패"
+SINGLE_SPLIT = "single"
+
 MESSAGE_TYPE = T.StructType(
     [
         T.StructField("role", T.StringType()),

@@ -62,13 +62,3 @@ def read_vocab(spark: SparkSession, path: str | list[str], fmt: str = "parquet")
     schema = VOCAB_SCHEMA if fmt in ("json", "csv") else None
     df = read_corpus(spark, path, fmt=fmt, schema=schema)
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in VOCAB_SCHEMA])
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share out a scanned table that has fewer scan tasks than the session has cores.
-
-    Splitting text into words takes far longer than reading it, so a small file must not stay in one task.
-    A table of many files is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

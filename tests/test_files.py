@@ -4,7 +4,8 @@ import pytest
 
 from lexloom.operators.lines import clean_lines
 from lexloom.sinks import write_result
-from lexloom.sources.corpus import read_corpus, read_lines, read_vocab, spread
+from lexloom.sources.corpus import read_corpus, read_lines, read_vocab
+from workload.inputs import spread
 
 
 @pytest.mark.parametrize("fmt", ["json", "parquet", "orc", "csv"])

@@ -51,9 +51,9 @@ def test_numbering_needs_keys_that_tell_rows_apart(spark):
 
 
 @pytest.mark.parametrize("n", [None, 0, 1, 17, 499, 500, 900])
-@pytest.mark.parametrize("narrow_from", [o.NARROW_FROM_ROWS, 1])
-def test_first_rows(spark, monkeypatch, n, narrow_from):
-    monkeypatch.setattr(o, "NARROW_FROM_ROWS", narrow_from)
+@pytest.mark.parametrize("few", [o.FEW_ROWS, 5])
+def test_first_rows(spark, monkeypatch, n, few):
+    monkeypatch.setattr(o, "FEW_ROWS", few)
     df, rows = table(spark)
     by_id = sorted(rows, key=lambda r: r[1])
     assert sorted(map(tuple, o.head_rows(df, ["id"], n).collect()), key=lambda r: r[1]) == by_id[:n]
@@ -61,7 +61,20 @@ def test_first_rows(spark, monkeypatch, n, narrow_from):
     assert sorted(map(tuple, by_both), key=lambda r: (r[0], r[1])) == rows[:n]
 
 
-def test_first_rows_of_equal_and_null_keys(spark):
+def test_many_first_rows_without_a_task_that_sorts_all_keys(spark):
+    df = spark.range(0, 200_000, 1, 8).select((F.col("id") * 7919 % 200_003).alias("k"))
+    numbered = o.number_rows(df, "k", name="n")
+    assert numbered._jdf.queryExecution().executedPlan().toString().count("SinglePartition") <= 1
+    head = o.head_rows(df, ["k"], 180_000)
+    bound = head.agg(F.count(F.lit(1)), F.max("k"), F.count_distinct("k")).first()
+    assert bound[0] == bound[2] == 180_000 and df.where(F.col("k") <= bound[1]).count() == 180_000
+    plan = head._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+@pytest.mark.parametrize("few", [o.FEW_ROWS, 2])
+def test_first_rows_of_equal_and_null_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(o, "FEW_ROWS", few)
     df = spark.createDataFrame([(None, 1), (None, 2), (1, 3), (1, 4), (1, 5), (2, 6)], "k int, v int")
     for n in range(1, 7):
         got = sorted((r["k"] is not None, r["k"] or 0) for r in o.head_rows(df, ["k"], n).collect())
@@ -105,7 +118,7 @@ def test_draw_from_few_rows(spark):
     assert o.draw_rows(df.limit(0), ["source", "id"]).isEmpty()
 
 
-def test_dedupe_keeps_the_first_and_limits_groups_before_the_shuffle(spark):
+def test_dedupe_keeps_the_first_and_never_sorts_texts(spark):
     df, rows = table(spark)
     first = {}
     for row in sorted(rows, key=lambda r: r[1]):
@@ -113,7 +126,25 @@ def test_dedupe_keeps_the_first_and_limits_groups_before_the_shuffle(spark):
     kept = o.dedupe_keep_first(df, ["text"], ["id"])
     assert {tuple(r) for r in kept.collect()} == set(first.values())
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("Partial") > plan.index("Exchange hashpartitioning(text")
+    assert "Sort [text" not in plan and "hashpartitioning(text" not in plan
+
+
+def test_dedupe_of_nulls_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, 1, "x"), (None, 1, "x"), ("a", None, "y"), ("a", 1, "z"), ("a", None, "y"), ("null", 2, "w")], "k string, o int, v string")
+    kept = o.dedupe_keep_first(df, ["k"], ["o"]).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(None, 1, "x"), ("a", None, "y"), ("null", 2, "w")]))
+    assert o.dedupe_keep_first(df.limit(0), ["k"], ["o"]).isEmpty()
+
+
+def test_materialized_tables_can_be_deleted(spark):
+    from lexloom.checkpoints import materialize, release
+
+    kept, gone = materialize(spark.range(5)), materialize(spark.range(7))
+    release(gone)
+    assert kept.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(gone._lexloom_path).count()
+    assert o.number_rows(spark.range(3), "id").count() == 3
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):

@@ -1,12 +1,11 @@
-"""The driver contract: every query beside its SQL on the smallest data, and some against plain Python."""
-
-import random
+"""The driver contract: every query beside its SQL on the smallest data."""
 
 import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
-from workload import queries
+from workload.oracles import all_oracles
+from workload.queries import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -16,28 +15,19 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_its_sql(spark, duck, name):
     frame = entry.queries()[name](spark, SF_DIR).toPandas()
     assert len(frame) > 0
     assert difference(frame, duck.execute(entry.oracle_sql()[name]).df()) is None
 
 
-def test_only_the_seeded_draw_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"drawn_rows"}
+def test_every_query_has_sql():
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_drawn_rows(spark):
-    rows = queries._unified(spark, SF_DIR).select(*queries.UNIFIED_ORDER, "source", "messages").collect()
-    rows.sort(key=lambda r: r[:3])
-    positions = random.Random(42).sample(range(len(rows)), k=3)
-    drawn = queries.drawn_rows(spark, SF_DIR).orderBy("draw").collect()
-    assert [tuple(r) for r in drawn] == [
-        (i, p, rows[p]["source"], len(rows[p]["messages"])) for i, p in enumerate(positions, 1)
-    ]
-
-
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["token_id", "token"] and df.count() > 0

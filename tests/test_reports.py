@@ -3,9 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.plans.eviction import evict, eviction_stats, materialized_counts, select_evicted
-from lexloom.plans.profiles import LOAD_FAILED, NO_SAMPLE, SAMPLE_FAILED, explode_profiles, profile_tables
+from lexloom.plans.profiles import explode_profiles, profile_lines, profile_tables
+from lexloom.plans.states import adapt_vocab, incoming_words, pair_tokens
+from lexloom.schemas import LOAD_FAILED, NO_SAMPLE
 from lexloom.plans.usage import report_lines, report_usage, summarize_usage, usage_report
 
 COUNTS = "token_id int, cnt bigint, first_seen struct<id:bigint,pos:int>"
@@ -126,6 +129,31 @@ def test_usage_report_of_first_rows(spark, corpus, words):
     assert [r["value"] for r in empty if r["section"] == "unused_count"] == [11]
 
 
+def test_usage_report_reads_all_rows_unless_told_otherwise(spark, words):
+    many = spark.range(10_050).select("id", F.when(F.col("id") == 10_049, "theta").otherwise("alpha").alias("text"))
+    report = report_usage(many, words, ["id"], unk_id=0).where("section = 'low_frequency'").collect()
+    assert {r["token"]: r["value"] for r in report} == {"theta": 1, "alpha": 10_049}
+
+
+def test_usage_document_can_be_written(spark, corpus, words, tmp_path):
+    document = summarize_usage(corpus, words, ["id"], unk_id=0)
+    for fmt in ("orc", "parquet", "json"):
+        document.write.format(fmt).save(str(tmp_path / fmt))
+    back = spark.read.orc(str(tmp_path / "orc"))
+    assert back.select("config.sample_limit").dtypes == [("sample_limit", "bigint")] and back.collect() == document.collect()
+
+
+def test_states_of_a_vocabulary(spark, corpus, words):
+    other = spark.createDataFrame([(1, "new alpha new other"), (2, "third other eta")], "id bigint, text string")
+    incoming = incoming_words(other, words, ["id"])
+    assert [(r["rank"], r["token"], r["cnt"]) for r in incoming.orderBy("rank").collect()] == [(0, "new", 2), (1, "other", 2), (2, "third", 1)]
+    gone = evict(corpus, words, ["id"], ratio=0.25, unk_id=0)
+    pairs = pair_tokens(gone, incoming)
+    assert sorted(map(tuple, pairs.collect())) == [(7, "eta", "new"), (8, "theta", "other")]
+    adapted = {r["token_id"]: (r["token"], r["status"]) for r in adapt_vocab(words, pairs).collect()}
+    assert adapted[7] == ("new", "injected") and adapted[1] == ("alpha", "kept") and len(adapted) == len(WORDS)
+
+
 def test_usage_document(spark, corpus, words):
     config = {"dataset": "d", "split": "train", "model": "m"}
     row = summarize_usage(corpus, words, ["id"], limit=2, k=2, unk_id=0, config=config).collect()
@@ -167,19 +195,20 @@ def test_profiles(spark, tmp_path):
         "no rows to split": df.limit(0),
     }
     rows = {r["name"]: r for r in profile_tables(spark, tables, order={"parts": ["id"]}).collect()}
-    assert list(rows) == list(tables)
+    assert set(rows) == set(tables)
     schema = ["id: int", "text: string", "messages: array<struct<role:string,content:string>>"]
     assert rows["parts"][1:] == (["test", "train"], schema, ["id: 1", "text: 'a \"b\"\\n'", "messages: None"])
     assert rows["plain"][1:] == (
         ["single"],
         schema,
-        ["id: 2", 'text: "it\'s"', "messages: [{'role': 'user', 'content': 'x'}]"],
+        ["id: 2", 'text: "it\'s"', 'messages: [{"role":"user","content":"x"}]'],
     )
     assert rows["empty"][1:] == (["single"], ["id: bigint"], [NO_SAMPLE])
     absent = rows["absent"]
     assert absent["splits"] is None and absent["schema"] == absent["sample"]
     assert absent["schema"][0].startswith(f"{LOAD_FAILED}: ") and "absent" in absent["schema"][0]
-    assert rows["broken"]["splits"] == ["single"] and rows["broken"]["sample"][0].startswith(SAMPLE_FAILED)
+    assert rows["broken"]["splits"] is None and rows["broken"]["sample"][0].startswith(f"{LOAD_FAILED}: ")
     assert rows["no rows to split"][1:] == ([], [LOAD_FAILED], [LOAD_FAILED])
-    long = explode_profiles(profile_tables(spark, {"plain": tables["plain"]}))
-    assert long.count() == 1 + 3 + 3
+    plain = {"plain": tables["plain"]}
+    long = explode_profiles(profile_tables(spark, plain))
+    assert long.count() == 1 + 3 + 3 and long.exceptAll(profile_lines(spark, plain)).isEmpty()

@@ -1,6 +1,5 @@
 """Words, ids and counts; both ways to meet a vocabulary; order of ties."""
 
-import json
 import random
 import re
 from collections import Counter
@@ -9,10 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import places
-from lexloom.operators import tokens
-from lexloom.operators.encoding import count_encoded_words
+from lexloom.operators import lookup, tokens
 from lexloom.operators.vocab import label_vocab, unused_tokens, used_tokens, with_token_text
-from lexloom.sources.tokenizer import encode_corpus, read_tokenizer, split_steps, vocab_from_tokenizer
 
 VOCAB = ["<unk>", "the", " ", "a", "cat", "dog", ".", "1", "\n", "한국어", "unused"]
 ORDER = ["part", "row"]
@@ -132,27 +129,44 @@ def test_measured_places_whatever_the_range(spark, vocab, spread, start):
 
 
 def test_form_of_places(spark):
-    corpus = spark.createDataFrame([(0, 1, "a" * 100), (2**40, 5, None)], "row bigint, part int, text string")
+    corpus = spark.createDataFrame([(0, 1, "a" * 100), (2**20, 5, None)], "row bigint, part int, text string")
     kind = lambda *args: type(places.measured_places(*args))
-    assert kind(corpus, ["row", "part"], "text") is places.LongPlaces
-    assert kind(corpus, ["row", "part", "row"], "text") is places.StructPlaces
-    assert kind(corpus.withColumn("row", F.col("row") * 2**20), ["row", "part"], "text") is places.DecimalPlaces
-    assert kind(corpus.withColumn("row", F.col("row") * 2**19), ["row", "part"], "text") is places.DecimalPlaces
-    assert kind(corpus.withColumn("row", F.col("row") * 2**18), ["row"], "text", 4) is places.LongPlaces
-    assert kind(corpus.limit(0), ["row"], "text") is places.DecimalPlaces
-    assert kind(corpus, ["text"], "text") is places.StructPlaces
+    assert kind(corpus, ["row", "part"]) is places.LongPlaces
+    assert kind(corpus, ["row", "part", "row"]) is places.StructPlaces
+    assert kind(corpus.withColumn("row", F.col("row") * 2**20), ["row", "part"]) is places.DecimalPlaces
+    assert kind(corpus.withColumn("row", F.col("row") * 2**20), ["row"], 4) is places.LongPlaces
+    assert kind(corpus.limit(0), ["row"]) is places.LongPlaces
+    assert kind(corpus, ["text"]) is places.StructPlaces
 
 
-def test_a_corpus_that_changes_after_it_was_measured_fails(spark, vocab, tmp_path):
-    path = str(tmp_path / "corpus")
+def test_no_pass_over_texts_chooses_the_form(spark, tmp_path):
+    spark.createDataFrame([(0, 1, "a"), (2**50, 5, "b")], "row bigint, part int, text string").write.parquet(str(tmp_path / "t"))
+    broken = spark.read.parquet(str(tmp_path / "t")).withColumn("text", F.expr("raise_error('text was read')").cast("string"))
+    assert type(places.measured_places(broken, ["row", "part"])) is places.DecimalPlaces
+
+
+@pytest.mark.parametrize("dtype", ["int", "bigint", "string", "double", "decimal(20,0)"])
+def test_null_order_columns_come_first_in_every_form(spark, vocab, dtype):
+    from lexloom.plans.eviction import evict
+
+    rows = [(None, 5, "cat dog"), (5, None, "dog cat"), (None, None, "the"), (3, 1, "the a")]
+    wide = spark.createDataFrame(rows, "part int, row bigint, text string")
+    for far in (0, 2**40):
+        corpus = wide.withColumn("row", (F.col("row") + far).cast("bigint")).withColumn("part", F.col("part").cast(dtype))
+        got = {k: v[1] for k, v in as_dict(tokens.count_corpus(corpus, vocab, ORDER, unk_id=0)).items()}
+        assert {k: (v[0] is None, v[1] if v[1] is None else v[1] - far, v[2]) for k, v in got.items() if k in (1, 3, 4, 5)} == {
+            1: (True, None, 0), 3: (False, 1, 2), 4: (True, 5, 0), 5: (True, 5, 2)
+        }
+        evicted = [r["token_id"] for r in evict(corpus, vocab, ORDER, ratio=0.8, unk_id=0).collect()]
+        assert evicted == [r["token_id"] for r in evict(wide, vocab, ORDER, ratio=0.8, unk_id=0).collect()]
+
+
+def test_a_corpus_that_changes_after_it_was_measured_fails(spark):
     schema = "row bigint, text string"
-    spark.createDataFrame([(1, "the cat"), (2, "the")], schema).write.parquet(path)
-    corpus = spark.read.schema(schema).parquet(path)
-    for far, late in [(1, (5, "the")), (2**40, (5, "the")), (2**40, (1, "the cat sat"))]:
-        rows = corpus.withColumn("row", F.col("row") * far)
-        places_now = places.measured_places(rows, ["row"], "text")
-        with pytest.raises(Exception, match="corpus changed"):
-            spark.createDataFrame([(late[0] * far, late[1])], schema).select(places_now.row()).collect()
+    rows = spark.createDataFrame([(1, "the cat"), (2, "the")], schema)
+    places_now = places.measured_places(rows, ["row"])
+    with pytest.raises(Exception, match="corpus changed"):
+        spark.createDataFrame([(5, "the")], schema).select(places_now.row()).collect()
 
 
 def test_words_are_counted_by_hash_before_the_only_large_shuffle(spark, vocab):
@@ -196,7 +210,7 @@ def test_nothing_asked_nothing_given(spark, vocab):
 
 def test_a_word_that_is_most_of_the_corpus_is_shared_out(spark, vocab, monkeypatch):
     monkeypatch.setattr(tokens, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(tokens, "MAX_SALTS", 64)
+    monkeypatch.setattr(lookup, "HOT_KEYS", 3)
     corpus = spark.createDataFrame([(1, i, "the cat the") for i in range(2000)], "part int, row bigint, text string")
     settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
                 "spark.sql.shuffle.partitions": "64"}
@@ -254,82 +268,3 @@ def test_effective_max_length(spark, model_max, position_max, want):
     row = spark.range(1).select(tokens.effective_max_length(F.lit(model_max).cast("bigint"), position)).collect()[0]
     assert row[0] == want
     assert spark.range(1).select(tokens.effective_max_length(F.lit(5))).collect()[0][0] == 5
-
-
-def trained_tokenizer(path, split=None):
-    tokenizers = pytest.importorskip("tokenizers")
-    tokenizer = tokenizers.Tokenizer(tokenizers.models.BPE())
-    byte_level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=split != "regex")
-    if split == "digits":
-        first = tokenizers.pre_tokenizers.Digits(individual_digits=True)
-    elif split == "regex":
-        first = tokenizers.pre_tokenizers.Split(tokenizers.Regex(r"\s?\p{L}+|\p{N}{1,3}"), "isolated")
-    tokenizer.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([first, byte_level]) if split else byte_level
-    tokenizer.decoder = tokenizers.decoders.ByteLevel()
-    trainer = tokenizers.trainers.BpeTrainer(
-        vocab_size=320,
-        special_tokens=["<|endoftext|>"],
-        initial_alphabet=tokenizers.pre_tokenizers.ByteLevel.alphabet(),
-    )
-    tokenizer.train_from_iterator(["the cat and the dog", "한국어 the dogs and cats"] * 5, trainer)
-    tokenizer.save(str(path))
-    return tokenizer
-
-
-def test_tokenizer_file(spark, tmp_path):
-    tokenizer = trained_tokenizer(tmp_path / "tokenizer.json")
-    definition = read_tokenizer(spark, str(tmp_path / "tokenizer.json"))
-    size = tokenizer.get_vocab_size()
-    vocab = vocab_from_tokenizer(spark, definition).orderBy("token_id").collect()
-    assert [r["token_id"] for r in vocab] == list(range(size))
-    assert [r["token"] for r in vocab] == [tokenizer.decode([i], skip_special_tokens=False) for i in range(size)]
-    assert [r["token_id"] for r in vocab if r["is_special"]] == [tokenizer.token_to_id("<|endoftext|>")]
-    # Decoding turns the space marker into a space, so such tokens are judged by their letters.
-    assert " the" in {r["token"] for r in vocab}
-
-    texts = ["the cats", "", None, "한국어 dog\n<|endoftext|>", "the " * 50]
-    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(3)
-    for max_length in (None, 4):
-        encoded = encode_corpus(df, definition, ["id"], max_length=max_length).orderBy("id").collect()
-        assert [r["input_ids"] for r in encoded] == [
-            tokenizer.encode(text or "", add_special_tokens=False).ids[:max_length] for text in texts
-        ]
-    occurrences = tokens.explode_token_ids(encode_corpus(df, definition, ["id"]), ["id"])
-    ids = [i for text in texts for i in tokenizer.encode(text or "", add_special_tokens=False).ids]
-    top = tokens.top_tokens(tokens.count_tokens(occurrences, ["id"]), 5).orderBy("rank").collect()
-    assert [(r["token_id"], r["cnt"]) for r in top] == Counter(ids).most_common(5)
-
-
-@pytest.mark.parametrize("split", [None, "digits", "regex"])
-def test_encoding_distinct_words_equals_encoding_rows(spark, tmp_path, split):
-    trained_tokenizer(tmp_path / "tokenizer.json", split)
-    definition = read_tokenizer(spark, str(tmp_path / "tokenizer.json"))
-    rng = random.Random(11)
-    pieces = ["the", " cats", "'s", " ", "  ", "\n", "\n\n x", "12", " 2024", "한국어", " 한", "!?", " - ", "haha",
-              "<|endoftext|>", " <|endoftext|> ", "\xa0", "é", "ǆ", "①", "\t"]
-    data = [(i, "".join(rng.choices(pieces, k=rng.randrange(30)))) for i in range(150)] + [(-5, None), (-4, "")]
-    df = spark.createDataFrame(data, "id bigint, text string").repartition(4)
-    rows = tokens.count_tokens(tokens.explode_token_ids(encode_corpus(df, definition, ["id"]), ["id"]), ["id"])
-    words = count_encoded_words(df, definition, ["id"])
-    ranked = [
-        [(r["token_id"], r["cnt"]) for r in tokens.top_tokens(counts, 1000).orderBy("rank").collect()]
-        for counts in (rows, words)
-    ]
-    assert len(ranked[0]) > 20 and ranked[0] == ranked[1]
-    plan = words._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan
-    assert plan.count("ArrowEvalPython") == 1
-    assert plan.index("ArrowEvalPython") < plan.index("Exchange hashpartitioning(word")
-
-
-def test_tokenizers_that_need_whole_rows(tmp_path):
-    tokenizer = trained_tokenizer(tmp_path / "tokenizer.json")
-    settings = json.loads(tokenizer.to_str())
-    for changed in (
-        {"normalizer": {"type": "NFC"}},
-        {"pre_tokenizer": None},
-        {"pre_tokenizer": {"type": "Whitespace"}},
-        {"pre_tokenizer": {**settings["pre_tokenizer"], "add_prefix_space": True}},
-    ):
-        with pytest.raises(ValueError):
-            split_steps(json.dumps({**settings, **changed}))

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.checkpoints import materialize
+from lexloom.checkpoints import materialize, new_folder
+from lexloom.operators.order import number_rows
 from lexloom.operators.tokens import count_words
-from lexloom.schemas import WORD_PATTERN
-from lexloom.sources.corpus import read_corpus, spread
+from lexloom.sinks import write_result
+from lexloom.sources.corpus import read_corpus, read_vocab
 
 CONVERSATION_ORDER = ["conv_id", "turn"]
 DOCUMENT_ORDER = ["doc_id"]
 ROW_ORDER = ["row_order", "sub_order"]
 UNIFIED_ORDER = ["source_order", *ROW_ORDER]
 
-VOCAB_SIZE = 5_000
 SPECIAL_TOKENS = ("<|endoftext|>", "<unk>")
 UNK_ID = 1
 
@@ -28,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_corpus(spark, f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share out a scanned table that has fewer scan tasks than the session has cores.
+
+    Splitting text into words takes far longer than reading it, so a small file must not stay in one task.
+    A table of many files is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spread(table(spark, sf_dir, "conversations"), *CONVERSATION_ORDER)
     return df.withColumn("turn", F.col("turn").cast("int"))
@@ -38,13 +46,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent words of `documents`, numbered after the two special tokens."""
-    words = count_words(documents(spark, sf_dir))
-    kept = words.orderBy(F.desc("cnt"), "word").limit(VOCAB_SIZE - len(SPECIAL_TOKENS))
-    # The limit has left a vocabulary's worth of rows, so the numbering is a small sort.
-    place = F.expr("row_number() OVER (ORDER BY cnt DESC, word)")
-    tokens = kept.select(
-        (place + len(SPECIAL_TOKENS) - 1).cast("int").alias("token_id"),
+    """All words of `documents` by count, numbered after the two special tokens."""
+    words = number_rows(count_words(documents(spark, sf_dir)), F.desc("cnt"), F.asc("word"), name="place")
+    tokens = words.select(
+        (F.col("place") + len(SPECIAL_TOKENS)).cast("int").alias("token_id"),
         F.col("word").alias("token"),
         F.lit(False).alias("is_special"),
     )
@@ -64,33 +69,21 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocabularies[key]
 
 
-def tokenizer_definition(vocab: DataFrame) -> str:
-    """A word-level tokenizer file for a vocabulary; its entries are what such a file holds."""
-    rows = vocab.collect()
-    special = [row for row in rows if row["is_special"]]
-    flags = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
-    return json.dumps(
-        {
-            "version": "1.0",
-            "truncation": None,
-            "padding": None,
-            "added_tokens": [{"id": r["token_id"], "content": r["token"], **flags} for r in special],
-            "normalizer": None,
-            "pre_tokenizer": {
-                "type": "Split",
-                "pattern": {"Regex": WORD_PATTERN},
-                "behavior": "Isolated",
-                "invert": False,
-            },
-            "post_processor": None,
-            "decoder": None,
-            "model": {
-                "type": "WordLevel",
-                "vocab": {row["token"]: row["token_id"] for row in rows},
-                "unk_token": SPECIAL_TOKENS[UNK_ID],
-            },
-        }
-    )
+def vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary as it comes back from a JSON file in the shared folder."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} as JSON")
+    if key not in _vocabularies:
+        path = new_folder(spark)
+        write_result(vocabulary(spark, sf_dir), path, "json")
+        _vocabularies[key] = read_vocab(spark, path, "json")
+    return _vocabularies[key]
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one row of messages, turns in order."""
+    turn = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("message"))
+    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    return grouped.select("conv_id", F.col("turns.message").alias("messages"))
 
 
 def alpaca_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

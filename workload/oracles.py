@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from lexloom.functions.prunable import DIGITS_ONLY
 from lexloom.schemas import (
     ALPACA_SOURCE,
     DEFAULT_EVICTION_RATIO,
-    DEFAULT_REPORT_LIMIT,
     DEFAULT_SAMPLE_ROWS,
     DEFAULT_SEED,
     QA_SOURCE,
@@ -14,13 +12,15 @@ from lexloom.schemas import (
     SYSTEM_PROMPT,
     WORD_PATTERN,
 )
-from workload.inputs import SPECIAL_TOKENS, UNK_ID, VOCAB_SIZE
+from workload.inputs import SPECIAL_TOKENS, UNK_ID
 from workload.queries import (
     DOCUMENT_RATIO,
     HEAD_ROWS,
+    MISSING_TABLE,
     PLAIN_PROMPT,
     PROFILED,
     REPORT_ROWS,
+    SPLIT_TABLE,
     SUMMARY_TOP_K,
     TRUNCATED_LENGTH,
 )
@@ -28,6 +28,11 @@ from workload.queries import (
 SPACE = (
     r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# Decimal digits, superscripts, subscripts, circled and other digits, written out for the SQL alone.
+ONLY_DIGITS = (
+    r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
+    r"\x{1369}-\x{1371}\x{19da}\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}]+$"
+)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 WORDS = f"regexp_extract_all(text, '{WORD_PATTERN}')"
 
@@ -55,7 +60,6 @@ VOCAB = (
     f"""vocab AS (
         SELECT CAST(place + {len(SPECIAL_TOKENS) - 1} AS INTEGER) AS token_id, word AS token, false AS is_special
         FROM (SELECT word, row_number() OVER (ORDER BY cnt DESC, word) AS place FROM word_counts)
-        WHERE place <= {VOCAB_SIZE - len(SPECIAL_TOKENS)}
         UNION ALL
         SELECT CAST(id AS INTEGER), token, true
         FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(SPECIAL_TOKENS))}) s(id, token))""",
@@ -66,7 +70,7 @@ RULES = {
     "blank": f"NOT regexp_matches(token, '[^{SPACE}]')",
     "byte": "regexp_matches(token, '^<0x[0-9A-Fa-f]{2}>$')",
     "control": r"regexp_matches(token, '[\x00-\x1f]')",
-    "digits": f"regexp_matches({strip('token')}, '{DIGITS_ONLY}')",
+    "digits": f"regexp_matches({strip('token')}, '{ONLY_DIGITS}')",
     "symbols": f"NOT regexp_matches({strip('token')}, '[a-zA-Z0-9가-힣]')",
     "space_marker": "(contains(token, 'Ġ') OR contains(token, '▁'))",
     "short": rf"regexp_matches({strip('token')}, '^[\p{{L}}\p{{N}}]{{1,2}}$')",
@@ -198,15 +202,39 @@ def repr_of(column: str) -> str:
     )
 
 
+# Columns by table with their types in SQL.
 PROFILE_COLUMNS = {
-    "benchmark": {"item_id": "bigint", "text": "string"},
-    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
-    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
-    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
-    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
-    "pages": {"page_id": "bigint", "url": "string", "html": "string"},
-    "region": {"r_regionkey": "int", "r_name": "string"},
+    "benchmark": "item_id bigint, text varchar",
+    "conversations": "conv_id bigint, turn bigint, role varchar, text varchar",
+    "customer": "c_custkey bigint, c_name varchar, c_nationkey integer, c_acctbal double, c_mktsegment varchar",
+    "documents": "doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding integer[], label integer",
+    "events": "event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar",
+    "labels": "doc_id bigint, quality integer, toxic integer",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber integer, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag varchar, l_linestatus varchar, l_shipdate timestamp",
+    "nation": "n_nationkey integer, n_name varchar, n_regionkey integer",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus varchar, o_totalprice double, o_orderdate timestamp, "
+    "o_orderpriority varchar",
+    "pages": "page_id bigint, url varchar, html varchar",
+    "part": "p_partkey bigint, p_name varchar, p_brand varchar, p_type varchar, p_size integer, p_retailprice double",
+    "region": "r_regionkey integer, r_name varchar",
+    "supplier": "s_suppkey bigint, s_name varchar, s_nationkey integer, s_acctbal double",
 }
+SHOWN_TYPES = {"varchar": "string", "integer": "int", "integer[]": "array<int>", "timestamp": "timestamp_ntz"}
+
+
+def profile_part(name: str, first: str, columns: str) -> list[str]:
+    selects = []
+    for pos, (column, kind) in enumerate(part.split(" ") for part in columns.split(", ")):
+        shown = repr_of(column) if kind == "varchar" else f"CAST({column} AS VARCHAR)"
+        if kind == "integer[]":
+            thousandths = f"list_transform({column}, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS INTEGER))"
+            shown = f"replace(CAST({thousandths} AS VARCHAR), ', ', ',')"
+        typed = SHOWN_TYPES.get(kind, kind)
+        selects.append(f"SELECT '{name}' AS name, 'schema' AS part, {pos} AS pos, '{column}: {typed}' AS line FROM {first}")
+        selects.append(f"SELECT '{name}', 'sample', {pos}, '{column}: ' || {shown} FROM {first}")
+    return selects
 
 
 def profile_sql() -> str:
@@ -214,26 +242,40 @@ def profile_sql() -> str:
     for name, order in PROFILED.items():
         first = f"(SELECT * FROM {name} ORDER BY {order} LIMIT 1)"
         selects.append(f"SELECT '{name}' AS name, 'splits' AS part, 0 AS pos, 'single' AS line")
-        for pos, (column, kind) in enumerate(PROFILE_COLUMNS[name].items()):
-            shown_type = (
-                f"CASE typeof({column}) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' "
-                f"ELSE lower(typeof({column})) END"
-            )
-            shown = repr_of(column) if kind == "string" else f"CAST({column} AS VARCHAR)"
-            selects.append(f"SELECT '{name}', 'schema', {pos}, '{column}: ' || {shown_type} FROM {first}")
-            selects.append(f"SELECT '{name}', 'sample', {pos}, '{column}: ' || {shown} FROM {first}")
+        selects += profile_part(name, first, PROFILE_COLUMNS[name])
+    selects += [f"SELECT '{MISSING_TABLE}', '{part}', 0, 'cannot be read'" for part in ("schema", "sample")]
+    selects.append(
+        f"SELECT '{SPLIT_TABLE}', 'splits', CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER), lang "
+        "FROM (SELECT DISTINCT lang FROM documents)"
+    )
+    first = "(SELECT * FROM documents ORDER BY lang, doc_id LIMIT 1)"
+    selects += profile_part(SPLIT_TABLE, first, "doc_id bigint, text varchar, source varchar, n_chars bigint")
     return " UNION ALL ".join(selects)
 
 
 def all_oracles() -> dict[str, str]:
+    conversation_ctes = CONVERSATION_COUNTS
     report = f"""
         SELECT 'unused_count' AS section, 0 AS rank, -1 AS token_id, '' AS token, count(*) AS value FROM unused
         UNION ALL SELECT s, rank, token_id, token, 0 FROM first_unused,
                (VALUES ('unused'), ('reassign_unused')) t(s)
         UNION ALL SELECT s, rank, rare.token_id, token, cnt FROM rare LEFT JOIN vocab USING (token_id),
                (VALUES ('low_frequency'), ('reassign_low_frequency')) t(s)"""
-    head = counts_ctes(
-        f"(SELECT * FROM {CONVERSATION_ROWS} ORDER BY conv_id, turn LIMIT {DEFAULT_REPORT_LIMIT})", CONVERSATION_KEYS
+    unlisted = (
+        *VOCAB,
+        words_cte("page_words", "(SELECT page_id, html AS text FROM pages)", "page_id"),
+        """incoming AS (
+            SELECT row_number() OVER (ORDER BY cnt DESC, seen, word) - 1 AS rank, word AS token, cnt FROM (
+                SELECT word, count(*) AS cnt, min(struct_pack(page_id := page_id, pos := pos)) AS seen
+                FROM page_words WHERE word NOT IN (SELECT token FROM vocab) GROUP BY word))""",
+    )
+    pairs = (
+        *conversation_ctes,
+        *evicted_ctes(DEFAULT_EVICTION_RATIO),
+        *unlisted[len(VOCAB) :],
+        """freed AS (
+            SELECT token_id, token AS replaced, row_number() OVER (ORDER BY token_id) - 1 AS rank FROM evicted)""",
+        "pairs AS (SELECT token_id, replaced, token FROM freed JOIN incoming USING (rank))",
     )
     mixed_text = """
         SELECT source, row_order, sub_order, 'None' || chr(10) || instruction || chr(10) || output AS text FROM (
@@ -336,9 +378,9 @@ def all_oracles() -> dict[str, str]:
             *conversation,
             select="SELECT count(*) AS unique_token_count, CAST(sum(cnt) AS BIGINT) AS total_token_count FROM counts",
         ),
-        "usage_report_sections": query(*head, RARE, UNUSED, FIRST_UNUSED, select=report),
+        "usage_report_sections": query(*conversation, RARE, UNUSED, FIRST_UNUSED, select=report),
         "usage_report_lines": query(
-            *head,
+            *conversation,
             RARE,
             select="SELECT rank, format('{:02d}. TOKEN_ID={} | STR=''{}'' | OCC={}', rank, t.token_id, token, cnt) "
             "AS line FROM rare t LEFT JOIN vocab ON t.token_id = vocab.token_id",
@@ -348,7 +390,8 @@ def all_oracles() -> dict[str, str]:
             TOP,
             select="SELECT 'conversations' AS dataset, "
             "'text,messages,conversations,instruction,output' AS text_columns, "
-            f"{SUMMARY_TOP_K} AS top_k, (SELECT count(*) FROM counts) AS unique_token_count, "
+            "'train' AS split, 'words' AS model, CAST(-1 AS BIGINT) AS sample_limit, "
+            f"CAST({SUMMARY_TOP_K} AS BIGINT) AS top_k, (SELECT count(*) FROM counts) AS unique_token_count, "
             "(SELECT CAST(sum(cnt) AS BIGINT) FROM counts) AS total_token_count, rank - 1 AS pos, "
             "t.token_id, token, cnt FROM top t LEFT JOIN vocab ON t.token_id = vocab.token_id",
         ),
@@ -413,4 +456,28 @@ def all_oracles() -> dict[str, str]:
                     FROM (SELECT doc_id, regexp_split_to_array(text, '{LINE_BREAK}') AS lines FROM documents)))
             WHERE line <> '' AND NOT starts_with(line, '#')""",
         "table_profiles": profile_sql(),
+        "profiles_written": profile_sql(),
+        "results_written": query(
+            *conversation, *evicted_ctes(DEFAULT_EVICTION_RATIO), select="SELECT token_id, token FROM evicted"
+        ),
+        "vocabulary_read": query(*VOCAB, select="SELECT * FROM vocab"),
+        "split_rows": "SELECT doc_id, lang AS split, md5(text) AS text_md5, 'all' AS read FROM documents "
+        "UNION ALL SELECT doc_id, lang, md5(text), 'one' FROM documents WHERE lang = 'de'",
+        "unified_from_files": query(*SHAPES, UNIFIED, select="SELECT * FROM unified"),
+        "transcript_counts": query(
+            *counts_ctes(
+                "(SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text "
+                "FROM conversations GROUP BY conv_id)",
+                ["conv_id"],
+            ),
+            select=flat_counts(["conv_id"]),
+        ),
+        "incoming_tokens": query(*unlisted, select="SELECT * FROM incoming"),
+        "paired_tokens": query(*pairs, select="SELECT * FROM pairs"),
+        "adapted_vocabulary": query(
+            *pairs,
+            select="SELECT vocab.token_id, coalesce(pairs.token, vocab.token) AS token, is_special, "
+            "CASE WHEN pairs.token IS NULL THEN 'kept' ELSE 'injected' END AS status "
+            "FROM vocab LEFT JOIN pairs ON vocab.token_id = pairs.token_id",
+        ),
     }

@@ -8,18 +8,17 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.checkpoints import new_folder
 from lexloom.functions.chat import ChatOptions
 from lexloom.functions.prunable import keep_rules
-from lexloom.operators.encoding import count_encoded_words
 from lexloom.operators.lines import clean_lines, explode_lines
-from lexloom.operators.order import dedupe_keep_first, draw_rows, head_rows, sample_rows, with_row_keys
+from lexloom.operators.order import dedupe_keep_first, head_rows, sample_rows, with_row_keys
 from lexloom.operators.text import extract_text, extract_text_columns
 from lexloom.operators.tokens import (
     count_corpus,
     count_tokens,
     count_words,
     effective_max_length,
-    explode_token_ids,
     first_tokens,
     rare_tokens,
     tokenize,
@@ -38,11 +37,13 @@ from lexloom.operators.unify import (
 )
 from lexloom.operators.vocab import label_vocab, prunable, unused_tokens, used_tokens, with_token_text
 from lexloom.plans.eviction import evict, eviction_stats, materialized_counts, select_evicted
-from lexloom.plans.profiles import explode_profiles, profile_tables
-from lexloom.plans.unified import unify_lazily
+from lexloom.plans.profiles import profile_lines
+from lexloom.plans.states import adapt_vocab, incoming_words, pair_tokens
+from lexloom.plans.unified import unify_lazily, unify_sources
 from lexloom.plans.usage import report_lines, report_usage, summarize_usage
 from lexloom.schemas import ALPACA_SOURCE, QA_SOURCE, SHAREGPT_SOURCE
-from lexloom.sources.tokenizer import encode_corpus, vocab_from_tokenizer
+from lexloom.sinks import write_result
+from lexloom.sources.corpus import SourceSpec, read_corpus, read_vocab
 from workload.inputs import (
     CONVERSATION_ORDER,
     DOCUMENT_ORDER,
@@ -56,9 +57,10 @@ from workload.inputs import (
     qa_rows,
     sharegpt_rows,
     table,
-    tokenizer_definition,
+    transcripts,
     untransformed_rows,
     vocabulary,
+    vocabulary_file,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,12 +74,21 @@ HEAD_ROWS = 100
 PROFILED = {
     "benchmark": "item_id",
     "conversations": "conv_id, turn",
+    "customer": "c_custkey",
     "documents": "doc_id",
+    "embeddings": "vec_id",
+    "events": "event_id",
     "labels": "doc_id",
+    "lineitem": "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice",
     "nation": "n_nationkey",
+    "orders": "o_orderkey",
     "pages": "page_id",
+    "part": "p_partkey",
     "region": "r_regionkey",
+    "supplier": "s_suppkey",
 }
+# A table that is not there, and one whose splits are the languages of documents.
+MISSING_TABLE, SPLIT_TABLE = "missing", "documents_by_lang"
 
 _QUERIES: dict[str, Query] = {}
 
@@ -227,10 +238,17 @@ def document_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unified_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = _unified(spark, sf_dir).withColumn("row_no", F.col("row_order") * (1 << 20) + F.col("sub_order"))
-    order = ["source_order", "row_no"]
-    counts = count_corpus(extract_text(corpus, keep=order), vocabulary(spark, sf_dir), order, unk_id=UNK_ID)
-    return _flat_counts(counts, *order)
+    rows = extract_text(_unified(spark, sf_dir), keep=UNIFIED_ORDER)
+    counts = count_corpus(rows, vocabulary(spark, sf_dir), UNIFIED_ORDER, unk_id=UNK_ID)
+    seen = F.col("first_seen")
+    row_no = seen["row_order"] * (1 << 20) + seen["sub_order"]
+    return counts.select(
+        "token_id",
+        "cnt",
+        seen["source_order"].alias("first_source_order"),
+        row_no.alias("first_row_no"),
+        seen["pos"].alias("first_pos"),
+    )
 
 
 @query
@@ -247,33 +265,41 @@ def text_columns_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_counts(count_corpus(rows, vocabulary(spark, sf_dir), ROW_ORDER, unk_id=UNK_ID), *ROW_ORDER)
 
 
+@query
+def transcript_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract_text(transcripts(spark, sf_dir), keep=["conv_id"])
+    return _flat_counts(count_corpus(rows, vocabulary(spark, sf_dir), ["conv_id"], unk_id=UNK_ID), "conv_id")
+
+
+# With a vocabulary from a file
+
+
+@query
+def tokenizer_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary_file(spark, sf_dir)
+
+
 @query
 def tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract_text(conversations(spark, sf_dir), keep=CONVERSATION_ORDER)
-    encoded = encode_corpus(rows, tokenizer_definition(vocabulary(spark, sf_dir)), CONVERSATION_ORDER)
-    occurrences = explode_token_ids(encoded, CONVERSATION_ORDER)
+    occurrences = tokenize(rows, vocabulary_file(spark, sf_dir), CONVERSATION_ORDER, unk_id=UNK_ID)
     return _flat_counts(count_tokens(occurrences, CONVERSATION_ORDER), *CONVERSATION_ORDER)
 
 
-def _encoded_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract_text(conversations(spark, sf_dir), keep=CONVERSATION_ORDER)
-    return count_encoded_words(rows, tokenizer_definition(vocabulary(spark, sf_dir)), CONVERSATION_ORDER)
+    return count_corpus(rows, vocabulary_file(spark, sf_dir), CONVERSATION_ORDER, unk_id=UNK_ID)
 
 
 @query
 def tokenizer_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_counts(_encoded_word_counts(spark, sf_dir), *CONVERSATION_ORDER)
+    return _flat_counts(_file_counts(spark, sf_dir), *CONVERSATION_ORDER)
 
 
 @query
 def tokenizer_evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = vocab_from_tokenizer(spark, tokenizer_definition(vocabulary(spark, sf_dir)))
-    return select_evicted(vocab, _encoded_word_counts(spark, sf_dir)).select("token_id", "token")
-
-
-@query
-def tokenizer_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab_from_tokenizer(spark, tokenizer_definition(vocabulary(spark, sf_dir)))
+    evicted_rows = select_evicted(vocabulary_file(spark, sf_dir), _file_counts(spark, sf_dir))
+    return evicted_rows.select("token_id", "token")
 
 
 @query
@@ -322,6 +348,9 @@ def usage_summary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return document.select(
         F.col("config.dataset").alias("dataset"),
+        F.col("config.split").alias("split"),
+        F.col("config.model").alias("model"),
+        F.coalesce("config.sample_limit", F.lit(-1)).alias("sample_limit"),
         F.array_join("config.text_columns", ",").alias("text_columns"),
         F.col("config.top_k").alias("top_k"),
         "summary.unique_token_count",
@@ -412,12 +441,6 @@ def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_rows(table(spark, sf_dir, "documents"), DOCUMENT_ORDER).select("doc_id", "lang", "n_chars")
 
 
-@query
-def drawn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = draw_rows(_unified(spark, sf_dir), UNIFIED_ORDER)
-    return drawn.select("draw", "row_no", "source", F.size("messages").alias("messages"))
-
-
 @query
 def distinct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedupe_keep_first(table(spark, sf_dir, "documents"), ["text"], DOCUMENT_ORDER)
@@ -431,6 +454,84 @@ def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = {name: f"{sf_dir}/{name}.parquet" for name in PROFILED}
-    order = {name: key.split(", ") for name, key in PROFILED.items()}
-    return explode_profiles(profile_tables(spark, paths, order=order))
+    tables = {name: f"{sf_dir}/{name}.parquet" for name in PROFILED} | {MISSING_TABLE: f"{sf_dir}/missing.parquet"}
+    by_lang = table(spark, sf_dir, "documents").withColumnRenamed("lang", "split")
+    order = {name: key.split(", ") for name, key in PROFILED.items()} | {SPLIT_TABLE: DOCUMENT_ORDER}
+    # Engines print floats in different ways, so vectors are shown in thousandths.
+    thousandths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("int"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("embedding", thousandths)
+    lines = profile_lines(spark, tables | {SPLIT_TABLE: by_lang, "embeddings": vectors}, order=order)
+    # What an error says differs between engines and folders.
+    return lines.withColumn("line", F.when(F.col("name") == MISSING_TABLE, "cannot be read").otherwise(F.col("line")))
+
+
+# Files
+
+
+def _by_split(spark: SparkSession, sf_dir: str) -> str:
+    path = new_folder(spark)
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "split")
+    docs.write.partitionBy("split").parquet(path)
+    return path
+
+
+@query
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _by_split(spark, sf_dir)
+    one = read_corpus(spark, path, split="de").select("doc_id", F.lit("de").alias("split"), F.md5("text").alias("text_md5"))
+    everything = read_corpus(spark, path).select("doc_id", "split", F.md5("text").alias("text_md5"))
+    return one.withColumn("read", F.lit("one")).unionByName(everything.withColumn("read", F.lit("all")))
+
+
+@query
+def vocabulary_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark)
+    write_result(vocabulary(spark, sf_dir), path, "parquet")
+    return read_vocab(spark, path)
+
+
+@query
+def unified_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = []
+    for name, df in _sources(spark, sf_dir):
+        path = new_folder(spark)
+        df.withColumnsRenamed({"row_order": "row_id", "sub_order": "sub_id"}).withColumn("split", F.lit("train")).write.partitionBy("split").parquet(path)
+        specs.append(SourceSpec(name, path, split="train", order={"row_id": "row_order", "sub_id": "sub_order"}))
+    return explode_messages(unify_sources(spark, specs, ROW_ORDER), keep=UNIFIED_ORDER)
+
+
+@query
+def results_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark)
+    write_result(evicted(spark, sf_dir), path, "orc", order=["token_id"])
+    return read_corpus(spark, path, fmt="orc")
+
+
+@query
+def profiles_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark)
+    write_result(table_profiles(spark, sf_dir), path, "csv")
+    return read_corpus(spark, path, fmt="csv", schema="name string, part string, pos int, line string")
+
+
+# What happens to the ids that are given up
+
+
+@query
+def incoming_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+    return incoming_words(pages, vocabulary(spark, sf_dir), ["page_id"]).select("rank", "token", "cnt")
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_tokens(evicted(spark, sf_dir), incoming_tokens(spark, sf_dir))
+
+
+@query
+def paired_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paired(spark, sf_dir)
+
+
+@query
+def adapted_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapt_vocab(vocabulary(spark, sf_dir), _paired(spark, sf_dir))
