@@ -50,9 +50,11 @@ def attach(
     frequent = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
     hot = table.join(F.broadcast(frequent.drop("_n")), keys).select(*keys, F.struct(*values).alias("_hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")
+    # The slot of a row that meets the table here is its key's; any other row gets one of its own. It is no constant on
+    # either side, as the optimizer would then join by the keys alone.
     no_key = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in keys])
-    salt = F.when(F.col("_hot").isNotNull() | no_key, 1 + F.pmod(F.xxhash64(*spread_by), F.lit(1 << 20)))
-    marked = marked.withColumn("_salt", F.coalesce(salt, F.lit(0)))
-    cold = table.select(*keys, F.struct(*values).alias("_cold")).withColumn("_salt", F.lit(0).cast("bigint"))
-    joined = marked.join(cold, [*keys, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    own = F.when(F.col("_hot").isNotNull() | no_key, F.xxhash64(*spread_by, F.lit("own")))
+    marked = marked.withColumn("_slot", F.coalesce(own, F.xxhash64(*keys)))
+    cold = table.select(*keys, F.struct(*values).alias("_cold"), F.xxhash64(*keys).alias("_slot"))
+    joined = marked.join(cold, [*keys, "_slot"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return joined.select(*rows.columns, *[F.col("_found")[name].alias(name) for name in values])
