@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,16 @@ def fold(key: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(folds))
 
 
+# Of an Arrow batch, so many rows at a time become Python objects, which keeps workers small.
+SLICE_ROWS = 256
+
+
+def slices(column: pa.Array) -> Iterator[list]:
+    """The values of a column as Python objects, a few rows at a time."""
+    for at in range(0, len(column), SLICE_ROWS):
+        yield column.slice(at, SLICE_ROWS).to_pylist()
+
+
 def bind(value: Column, use) -> Column:
     """`use(value)` with `value` computed once, also where `use` reads it within lambdas of its own."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -9,7 +9,6 @@ import re
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.checkpoints import materialize, new_folder
-from lexloom.llm.shared import bind
+from lexloom.llm.shared import SLICE_ROWS, bind
 from lexloom.operators.lookup import attach
 
 # Fixed values of the formats.
@@ -41,6 +40,8 @@ SAMPLE_ROWS = 1_000
 SAMPLE_BYTES = 8 << 10
 DICTIONARY_BYTES = 64 << 10
 _DATE = "1970-01-01T00:00:00Z"
+# Tasks hand on what they have written or read when it has so many bytes.
+_HELD_BYTES = 4 << 20
 # A frame is read in steps of so many bytes.
 _STEP = 8 << 10
 _ID = "urn:lexloom:record:"
@@ -61,14 +62,18 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def train_dictionary(pages: DataFrame, key: str, payload: str) -> bytes:
-    """A Zstandard dictionary from the payloads with the smallest hashed keys; empty if they are too few or too small."""
-    sample = pages.select(F.substring(F.col(payload), 1, SAMPLE_BYTES).alias("p"), F.xxhash64(key).alias("h"), F.crc32(payload).alias("c"))
-    rows = sample.where(F.length("p") >= 64).orderBy("h", "c").limit(SAMPLE_ROWS).collect()
-    if len(rows) < 16:
+def train_dictionary(rows: DataFrame, total: int) -> bytes:
+    """A Zstandard dictionary from about `SAMPLE_ROWS` of `total` rows `id, payload`; empty if that is too little.
+
+    Rows are taken by a hash of id and payload, so tasks hand on no more than the sample, however many they are.
+    """
+    every = max(1, total // SAMPLE_ROWS)
+    chosen = rows.where(F.pmod(F.xxhash64("id", "payload"), F.lit(every)) == 0)
+    sample = chosen.select(F.substring("payload", 1, SAMPLE_BYTES).alias("p")).where(F.length("p") >= 64).orderBy("p").limit(2 * SAMPLE_ROWS).collect()
+    if len(sample) < 16:
         return b""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["p"]) for r in rows]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["p"]) for r in sample]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -113,13 +118,13 @@ def write_archives(
     firsts = materialize(
         rows.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     )
-    total = firsts.agg(F.sum(F.col("n") * (F.col("size") + 512)).alias("b")).first()["b"] or 0
+    total, count = firsts.agg(F.coalesce(F.sum(F.col("n") * (F.col("size") + 512)), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     repeated = materialize(firsts.where((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes) & F.col("first").isNotNull()).drop("n"))
     known = attach(rows, repeated, ["digest", "size"], ["id"])
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     known = known.select(F.col("id").cast("string").alias("id"), "uri", "payload", "digest", "size", refers.cast("string").alias("refers"))
     spread = known.repartition(max(1, math.ceil(total / archive_bytes)), F.xxhash64("id", "digest"))
-    dictionary = pages.sparkSession.sparkContext.broadcast(train_dictionary(rows, "id", "payload"))
+    dictionary = pages.sparkSession.sparkContext.broadcast(train_dictionary(rows, count))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained = dictionary.value
@@ -127,12 +132,12 @@ def write_archives(
         made = [dictionary_frame(trained)] if trained else []
         held = 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for at in range(0, batch.num_rows, SLICE_ROWS) for r in batch.slice(at, SLICE_ROWS).to_pylist()):
                 kind = "response" if row["refers"] is None else "revisit"
                 record = format_record(kind, row["id"] or "null", row["uri"], row["digest"], row["payload"], row["size"], row["refers"])
                 made.append(compressor.compress(record))
                 held += len(made[-1])
-                if held > 1 << 24:
+                if held > _HELD_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
                     made, held = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
@@ -218,10 +223,10 @@ def parse_record(data: bytes) -> dict:
     return record
 
 
-def read_archive(data: bytes) -> Iterator[dict]:
+def read_archive(data: bytes | pa.Buffer) -> Iterator[dict]:
     """Records of an archive with their offsets. A record that does not hold comes with `error`; a broken frame ends the
     archive with one, as the next frame cannot be found."""
-    view = memoryview(data)
+    view = memoryview(data).cast("B")
     decompressor = zstandard.ZstdDecompressor()
     at = 0
     try:
@@ -258,20 +263,27 @@ def read_archives(spark: SparkSession, path: str, max_bytes: int = MAX_ARCHIVE_B
     if too_large:
         raise ValueError(f"{too_large[0]['path']} is larger than {max_bytes} bytes")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["archive", "offset", "error", "headers", "payload", "payload_bytes"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64()]
+    names = ["archive", "offset", "error", "headers", "payload", "payload_bytes"]
+
+    def records(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"]):
+            for archive, content in zip(batch.column("path"), batch.column("content")):
                 rows, held = [], 0
-                for record in read_archive(content):
-                    rows.append((archive, *[record.get(c) for c in columns[1:]]))
-                    held += len(record.get("payload") or b"")
-                    if len(rows) >= 2_000 or held > 1 << 24:
-                        yield pd.DataFrame(rows, columns=columns, dtype=object)
+                for record in read_archive(content.as_buffer()):
+                    headers = list(record["headers"].items()) if "headers" in record else None
+                    rows.append((archive.as_py(), record["offset"], record["error"], headers, record.get("payload"), record.get("payload_bytes")))
+                    held += 1_000 + len(record.get("payload") or b"")
+                    if held > _HELD_BYTES:
+                        yield records(rows)
                         rows, held = [], 0
-                yield pd.DataFrame(rows, columns=columns, dtype=object)
+                yield records(rows)
 
-    return found.where("length > 0").select("path", "content").mapInPandas(read, RECORDS)
+    return found.where("length > 0").select("path", "content").mapInArrow(read, RECORDS)
 
 
 def record_key(header: Column) -> Column:
