@@ -7,12 +7,14 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.shared import slices
+
 # A rank file is refused beyond this size, as every executor gets it.
 MAX_RANK_BYTES = 64 << 20
 # Texts are encoded in pieces of about so many characters, cut where no match of the pattern can cross.
@@ -90,12 +92,13 @@ def read_ranks(spark: SparkSession, path: str) -> Broadcast:
 
 
 def encode(text: Column, ranks: Broadcast, pattern: str) -> Column:
-    """Ids of every whole text, as array<bigint>; no ids for null."""
+    """Ids of every whole text, as array<int>; no ids for null."""
 
-    @F.pandas_udf("array<bigint>")
-    def ids(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
         codec = Codec.of(bytes(ranks.value), pattern)
-        return pd.Series([codec.encode(t) for t in texts], dtype=object)
+        parts = [pa.array([codec.encode(t).view("<i4") for t in some], pa.list_(pa.int32())) for some in slices(texts)]
+        return pa.concat_arrays(parts or [pa.array([], pa.list_(pa.int32()))])
 
     return ids(text)
 
@@ -103,10 +106,10 @@ def encode(text: Column, ranks: Broadcast, pattern: str) -> Column:
 def decode(ids: Column, ranks: Broadcast, pattern: str) -> Column:
     """The bytes of every array of ids; empty for null. Ids outside the vocabulary fail."""
 
-    @F.pandas_udf("binary")
-    def content(lists: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def content(lists: pa.Array) -> pa.Array:
         codec = Codec.of(bytes(ranks.value), pattern)
-        return pd.Series([codec.decode([] if x is None else x) for x in lists], dtype=object)
+        return pa.array([codec.decode(x or []) for some in slices(lists) for x in some], pa.binary())
 
     return content(ids)
 
@@ -114,13 +117,16 @@ def decode(ids: Column, ranks: Broadcast, pattern: str) -> Column:
 def digest(ids: Column, ranks: Broadcast, pattern: str) -> Column:
     """`n_tokens, ids_sha256, decoded_sha256` of ids and of the bytes they decode to. Over `encode`, both run in one pass."""
 
-    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def digests(lists: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def digests(lists: pa.Array) -> pa.Array:
         codec = Codec.of(bytes(ranks.value), pattern)
-        rows = []
+        sizes, coded, decoded = [], [], []
         for x in lists:
-            x = np.asarray([] if x is None else x, "<u4")
-            rows.append((len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(codec.decode(x)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            x = x.values.to_numpy() if x.is_valid else np.zeros(0, "<i4")
+            sizes.append(len(x))
+            coded.append(hashlib.sha256(x.astype("<i4").tobytes()).hexdigest())
+            decoded.append(hashlib.sha256(codec.decode(x)).hexdigest())
+        columns = [pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+        return pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests(ids)

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.shared import fold
+from lexloom.llm.shared import fold, slices
 
 ORDERS = (2, 3)
 BUCKETS = 1 << 15
@@ -25,8 +24,7 @@ UNDETERMINED = "und"
 # A task hands on its counts when it has seen so many languages.
 _HELD_LANGUAGES = 64
 # Characters that are worked on at once.
-_BLOCK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_BLOCK = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,7 +99,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and their posterior probabilities; `und` and 0 for null and texts without a letter."""
-        named = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        named = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
         scores = np.tile(self.priors, (len(named), 1))
         n_buckets = len(self.matrix[0]) - 1 if self.languages else 0
         for indexes, points, starts in blocks([texts[i] for i in named]):
@@ -133,23 +131,25 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     def handed_on(held: dict[str, np.ndarray]):
         for name, counts in held.items():
             some = np.flatnonzero(counts)
-            yield pd.DataFrame({"lang": name, "bucket": some.astype(np.int32), "n": counts[some]})
+            columns = [pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some])]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
         held.clear()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for name, group in batch.groupby("lang"):
-                if name not in held and len(held) >= _HELD_LANGUAGES:
-                    yield from handed_on(held)
-                counts = held.setdefault(name, np.zeros(n_buckets, np.int64))
-                for _, points, starts in blocks([t for t in group["text"] if t]):
-                    for order in ORDERS:
-                        found = buckets(points, order, n_buckets, starts)
-                        counts += np.bincount(found, minlength=n_buckets + 1)[:n_buckets]
+            for texts, names in zip(slices(batch.column("text")), slices(batch.column("lang"))):
+                for name in dict.fromkeys(names):
+                    if name not in held and len(held) >= _HELD_LANGUAGES:
+                        yield from handed_on(held)
+                    counts = held.setdefault(name, np.zeros(n_buckets, np.int64))
+                    for _, points, starts in blocks([t for t, n in zip(texts, names) if t and n == name]):
+                        for order in ORDERS:
+                            found = buckets(points, order, n_buckets, starts)
+                            counts += np.bincount(found, minlength=n_buckets + 1)[:n_buckets]
         yield from handed_on(held)
 
-    counted = rows.mapInPandas(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     matrix = np.zeros((len(languages), n_buckets + 1))
     found = counted.toPandas()
     place = {name: k for k, name in enumerate(languages)}
@@ -163,10 +163,15 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 def predict(text: Column, model: Broadcast) -> Column:
     """`lang_pred, score` of every whole text by a broadcast model of bounded size."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        languages, scores = model.value.predict([t for t in texts])
-        return pd.DataFrame({"lang_pred": languages, "score": scores})
+    @F.arrow_udf("lang_pred string, score double")
+    def predicted(texts: pa.Array) -> pa.Array:
+        languages, scores = [], []
+        for some in slices(texts):
+            found = model.value.predict(some)
+            languages += found[0]
+            scores += found[1]
+        columns = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score"])
 
     return predicted(text)
 

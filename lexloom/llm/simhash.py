@@ -5,13 +5,14 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.checkpoints import materialize, release
 from lexloom.llm.components import connected_components
+from lexloom.llm.shared import slices
 from lexloom.operators.lookup import attach
 
 BITS = 64
@@ -47,9 +48,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(text: Column, shingle: int = 3) -> Column:
     """`fingerprint` as a bigint column with the same bits."""
 
-    @F.pandas_udf("bigint")
-    def signed(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], "<u8").view("<i8"))
+    @F.arrow_udf("bigint")
+    def signed(texts: pa.Array) -> pa.Array:
+        found = [fingerprint(t, shingle) for some in slices(texts) for t in some]
+        return pa.array(np.array(found, "<u8").view("<i8"))
 
     return signed(text)
 

@@ -41,9 +41,9 @@ def test_backoff_query_against_dictionaries(spark):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_backoff_over_blocks_and_odd_rows(spark, order):
     docs = [(i, f"The cat{i % 5} sat on the mat {i % 3} and a Dog" * (i % 4)) for i in range(60)]
-    docs += [(None, None), (100, ""), (101, " \n"), (7, "again the cat1"), (7, "again the cat1"), (102, "x " * 30_000), (103, "ÀÉ Àé")]
+    docs += [(None, None), (100, ""), (101, " \n"), (7, "again the cat1"), (7, "again the cat1"), (102, "x " * 30_000), (103, "ÀÉ Àé"), (104, "w" * 500 + " a" * 3 + " \t" * 100 + "b")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({"key": F.lit(1), "train": F.lit("x"), "block": F.lit(2)})
-    found = katz.score_documents(df, order=order, block_tokens=200, bucket_ngrams=20).collect()
+    found = katz.score_documents(df, order=order, block_tokens=200, bucket_ngrams=20, part_bytes=50).collect()
     check_scores(found, docs, order)
 
 
@@ -117,7 +117,7 @@ def test_language_held_out(spark):
 def test_language_of_odd_rows(spark):
     texts = [("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 20
     rows = [(i, t, lang) for i, (t, lang) in enumerate(texts)]
-    odd = [(100, None, "en"), (101, "", "de"), (102, "123 !? %", None), (103, "the " * 500_000, None), (104, "der", None), (None, "the", None), (0, "the cat", "en")]
+    odd = [(100, None, "en"), (101, "", "de"), (102, "123 !? % ² ① Ⅷ"[:13], None), (103, "the " * 500_000, None), (104, "der", None), (None, "the", None), (0, "the cat", "en")]
     df = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string").withColumns({"p": F.lit(1), "score": F.lit("s"), "row": F.lit(0)})
     found = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify(df).collect()]
     assert len(found) == len(rows) + len(odd)
