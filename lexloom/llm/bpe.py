@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -84,11 +85,18 @@ def _between(text: str, at: int, end: int):
 
 
 def read_ranks(spark: SparkSession, path: str) -> Broadcast:
-    """A rank file of checked size, sent to every executor."""
-    found = spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}")
-    if found.agg(F.sum("length")).first()[0] > MAX_RANK_BYTES:
+    """A rank file of checked size, from a store (a URI) or the driver's disk (a plain path), sent to every executor."""
+    if "://" in path:
+        found = spark.read.format("binaryFile").load(path)
+        size = found.agg(F.sum("length")).first()[0]
+    else:
+        size = os.path.getsize(path)
+    if size > MAX_RANK_BYTES:
         raise ValueError(f"{path} is larger than {MAX_RANK_BYTES} bytes")
-    return spark.sparkContext.broadcast(found.select("content").first()["content"])
+    if "://" in path:
+        return spark.sparkContext.broadcast(bytes(found.select("content").first()["content"]))
+    with open(path, "rb") as ranks:
+        return spark.sparkContext.broadcast(ranks.read())
 
 
 def encode(text: Column, ranks: Broadcast, pattern: str) -> Column:
@@ -96,7 +104,7 @@ def encode(text: Column, ranks: Broadcast, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        codec = Codec.of(bytes(ranks.value), pattern)
+        codec = Codec.of(ranks.value, pattern)
         parts = [pa.array([codec.encode(t).view("<i4") for t in some], pa.list_(pa.int32())) for some in slices(texts)]
         return pa.concat_arrays(parts or [pa.array([], pa.list_(pa.int32()))])
 
@@ -108,7 +116,7 @@ def decode(ids: Column, ranks: Broadcast, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def content(lists: pa.Array) -> pa.Array:
-        codec = Codec.of(bytes(ranks.value), pattern)
+        codec = Codec.of(ranks.value, pattern)
         return pa.array([codec.decode(x or []) for some in slices(lists) for x in some], pa.binary())
 
     return content(ids)
@@ -119,7 +127,7 @@ def digest(ids: Column, ranks: Broadcast, pattern: str) -> Column:
 
     @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def digests(lists: pa.Array) -> pa.Array:
-        codec = Codec.of(bytes(ranks.value), pattern)
+        codec = Codec.of(ranks.value, pattern)
         sizes, coded, decoded = [], [], []
         for x in lists:
             x = x.values.to_numpy() if x.is_valid else np.zeros(0, "<i4")
