@@ -30,7 +30,7 @@ def select_evicted(vocab: DataFrame, counts: DataFrame, ratio: float = DEFAULT_E
     """The evicted entries `(token_id, token, cnt)`, by id.
 
     One ranking fills the quota: unused entries by id, then used ones from the rarest on, of equal counts the
-    last to appear first.
+    last to appear first. Runs the job that ranks the candidates when called.
     """
     _check_ratio(ratio)
     entries = prunable(vocab).select("token_id", "token")
