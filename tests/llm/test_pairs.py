@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import embeddings, queries, simhash
 from lexloom.llm.components import connected_components
-from lexloom.operators.lookup import attach
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -44,15 +43,6 @@ def test_components_of_paths_stars_and_islands(spark):
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
-def test_attach_agrees_with_a_join_whatever_its_size(spark):
-    rows = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, F.lit(1)).when(F.col("id") % 7 > 0, F.col("id")).alias("k"))
-    table = spark.range(0, 2000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")).unionByName(spark.createDataFrame([(1, -1)], "k bigint, w bigint"))
-    expected = sorted(map(tuple, rows.join(table, "k", "left").select("id", "k", "w").collect()))
-    for limit in (1 << 30, -1):
-        found = attach(rows.select("id", F.col("k").cast("bigint").alias("k")), table, ["k"], ["id"], limit)
-        assert sorted(map(tuple, found.select("id", "k", "w").collect())) == expected
-
-
 @pytest.mark.parametrize("max_bits", [2, 3])
 def test_simhash_against_all_pairs(spark, max_bits):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
