@@ -97,6 +97,27 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
+OP3_SQL = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+        AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+        AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reached AS (
+    SELECT vec_id, vec_id AS other FROM embeddings
+    UNION SELECT reached.vec_id, links.b FROM reached JOIN links ON reached.other = links.a
+), counted AS (
+    SELECT a, count(*) AS n_links FROM links GROUP BY a
+), components AS (
+    SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM components LEFT JOIN counted ON a = vec_id
+"""
+
 OP4_SQL = rf"""
 WITH sized AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD_SQL}')), 0)::BIGINT AS size FROM documents
@@ -136,4 +157,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_mixing": OP4_SQL}
+    return {"op1_warc": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op4_mixing": OP4_SQL}
