@@ -10,6 +10,7 @@ frequency.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,10 @@ from lexloom.checkpoints import materialize, shared_folder
 from lexloom.llm.shared import fold
 
 # A block ends with the text that brings it to so many tokens.
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 3 << 20
+# Longer texts are taken in parts of about so many bytes.
+PART_BYTES = 4 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 # Buckets are so many that one gets about this number of rows' n-grams, and at least one per shuffle partition.
 BUCKET_NGRAMS = 1 << 20
 # Counts above this are taken as they are.
@@ -82,62 +86,92 @@ class _Places(dict):
         return place
 
 
-BLOCK = "block bigint, tokens binary, words binary, lengths binary, train binary"
+BLOCK = "block bigint, tokens binary, words binary, lengths binary, leads binary, train binary"
 
 
-def make_blocks(docs: DataFrame, key: str, text: str, train: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per block: the tokens of its texts as places in its list of word hashes, and what its texts are."""
+def _word_lists(text: str | None, part_bytes: int) -> Iterator[list[bytes]]:
+    """The tokens of a text in lists of bounded size, the end token last."""
+    data = (text or "").encode().lower()
+    at = 0
+    while len(data) - at > part_bytes:
+        cut = _BLANK.search(data, at + part_bytes)
+        if not cut:
+            break
+        words = data[at : cut.start()].split()
+        if words:
+            yield words
+        at = cut.start()
+    yield [*data[at:].split(), END]
+
+
+def make_blocks(
+    docs: DataFrame, key: str, text: str, train: Column, order: int, block_tokens: int = BLOCK_TOKENS, part_bytes: int = PART_BYTES
+) -> DataFrame:
+    """One row per block: the tokens of texts, or of parts of long ones, as places in its list of word hashes.
+
+    A part begins with the tokens before it, as far as n-grams reach back; `leads` tells how many. `docs` numbers texts.
+    """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = rows.schema["key"].dataType
+    names = ["block", "tokens", "words", "lengths", "leads", "train", "keys", "docs"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        places, ids, lengths, trained, keys, held, key_type = _Places(), [], [], [], [], 0, None
+        number = doc = TaskContext.get().partitionId() << 33
+        places, ids, lengths, leads, trained, keys, numbers, held, key_type = _Places(), [], [], [], [], [], [], 0, None
 
         def block():
-            fields = [number, pack(np.concatenate(ids)), pack(np.array([_hash(w) for w in places], np.uint64))]
-            fields += [pack(np.array(lengths, np.uint64)), pack(np.array(trained, np.uint64))]
-            arrays = [pa.array([x]) for x in fields]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([keys], pa.list_(key_type))], ["block", "tokens", "words", "lengths", "train", "keys"])
+            whole = [np.array(v, np.uint64) for v in (lengths, leads, trained)]
+            hashes = np.array([_hash(w) for w in places], np.uint64)
+            arrays = [pa.array([x]) for x in (number, pack(np.concatenate(ids)), pack(hashes), *map(pack, whole))]
+            lists = [pa.array([keys], pa.list_(key_type)), pa.array([numbers], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*arrays, *lists], names)
 
         for batch in batches:
             key_type = batch.schema.field("key").type
             for name, content, is_train in zip(batch.column("key"), batch.column("text"), batch.column("train")):
-                found = (content.as_py() or "").encode().lower().split()
-                found.append(END)
-                ids.append(np.fromiter(map(places.__getitem__, found), np.uint32, len(found)))
-                lengths.append(len(found))
-                trained.append(is_train.as_py())
-                keys.append(name.as_py())
-                held += len(found)
-                if held >= block_tokens:
-                    yield block()
-                    number += 1
-                    places, ids, lengths, trained, keys, held = _Places(), [], [], [], [], 0
+                lead: list[bytes] = []
+                for found in _word_lists(content.as_py(), part_bytes):
+                    found = lead + found
+                    ids.append(np.fromiter(map(places.__getitem__, found), np.uint32, len(found)))
+                    lengths.append(len(found))
+                    leads.append(len(lead))
+                    trained.append(is_train.as_py())
+                    keys.append(name.as_py())
+                    numbers.append(doc)
+                    lead = found[len(found) - order + 1 :] if len(found) >= order else found
+                    held += len(found)
+                    if held >= block_tokens:
+                        yield block()
+                        number += 1
+                        places, ids, lengths, leads, trained, keys, numbers, held = _Places(), [], [], [], [], [], [], 0
+                doc += 1
         if lengths:
             yield block()
 
-    return rows.mapInArrow(gather, f"{BLOCK}, keys array<{kind.simpleString()}>")
+    return rows.mapInArrow(gather, f"{BLOCK}, keys array<{kind.simpleString()}>, docs array<bigint>")
 
 
 class Block:
     """A block's tokens as n-gram and context hashes."""
 
-    def __init__(self, tokens: bytes, words: bytes, lengths: bytes, train: bytes):
-        self.hashes = unpack(words)
-        self.tokens = unpack(tokens).astype(np.int64)
-        self.lengths = unpack(lengths).astype(np.int64)
-        self.train = unpack(train).astype(bool)
+    def __init__(self, row: dict):
+        self.hashes = unpack(row["words"])
+        self.tokens = unpack(row["tokens"]).astype(np.int64)
+        self.lengths = unpack(row["lengths"]).astype(np.int64)
+        self.leads = unpack(row["leads"]).astype(np.int64)
+        self.train = unpack(row["train"]).astype(bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.within = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
+        # Leading tokens of a part only give context to those behind them.
+        self.own = self.within >= np.repeat(self.leads, self.lengths)
 
     def contexts(self, order: int) -> np.ndarray:
         """For every token the hash of the `order - 1` words before it; texts begin behind start marks."""
         found = np.zeros(len(self.tokens), np.uint64)
         words = self.hashes[self.tokens]
-        within = np.arange(len(words)) - np.repeat(self.starts, self.lengths)
         for back in range(order - 1, 0, -1):
             before = np.concatenate([np.zeros(back, np.uint64), words[:-back]])[: len(words)]
-            before[within < back] = _hash(START)
+            before[self.within < back] = _hash(START)
             found = chain(found, before)
         return found
 
@@ -148,7 +182,7 @@ class Block:
 
     def trained(self, places: np.ndarray, size: int) -> np.ndarray:
         """How often training texts have each n-gram."""
-        mask = np.repeat(self.train, self.lengths)
+        mask = np.repeat(self.train, self.lengths) & self.own
         return np.bincount(places[mask], minlength=size).astype(np.uint64)
 
 
@@ -175,12 +209,12 @@ def ask_counts(blocks: DataFrame, orders: list[int], buckets: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row["tokens"], row["words"], row["lengths"], row["train"])
+                block = Block(row)
                 for order in orders:
                     keys, _, places = block.ngrams(order)
                     yield _batch(list(_asked("count", order, row["block"], buckets, keys, block.trained(places, len(keys)))), ASKED)
 
-    return blocks.select("block", "tokens", "words", "lengths", "train").mapInArrow(ask, ASKED)
+    return blocks.drop("keys", "docs").mapInArrow(ask, ASKED)
 
 
 TOLD = "kind string, ord int, bucket int, block bigint, a binary, b binary, stats array<bigint>"
@@ -322,14 +356,14 @@ def probabilities(block: Block, told: Answers, levels: list[Level], words: tuple
 
 
 def _answered(blocks: DataFrame, told: DataFrame, use, schema: str) -> DataFrame:
-    """`use(block row, answers)` for every block; only answers move, as blocks are partitioned by their number."""
+    """`use(block row, answers)` for every block, which meets its answers by its number."""
     answers = told.where(F.col("kind").isin("count", "context")).select("kind", "ord", "bucket", "block", "a", "b")
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = Answers(right.to_pylist())
-        row = {name: left.column(name)[0].as_py() for name in left.column_names if name != "keys"}
-        if "keys" in left.column_names:
-            row["keys"] = left.column("keys")[0].values
+        lists = {"keys", "docs"} & set(left.column_names)
+        row = {name: left.column(name)[0].as_py() for name in left.column_names if name not in lists}
+        row |= {name: left.column(name)[0].values for name in lists}
         return pa.Table.from_batches(list(use(row, answers)))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
@@ -337,7 +371,7 @@ def _answered(blocks: DataFrame, told: DataFrame, use, schema: str) -> DataFrame
 
 def score_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", train: Column | None = None, order: int = 2, block_tokens: int = BLOCK_TOKENS,
-    bucket_ngrams: int = BUCKET_NGRAMS,
+    bucket_ngrams: int = BUCKET_NGRAMS, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """`key, held_out, n_tokens, n_known, train_tokens, base_score, score` of every whole text.
 
@@ -346,15 +380,15 @@ def score_documents(
     of log10 P(token | the `order - 1` tokens before it): discounted where the model has the n-gram, else the context's
     weight times the next lower order's. A word that training does not have gets what the words leave. `base_score` adds
     half to each count instead. A null text is empty; null keys and repeated rows are rows like others; without training
-    rows every token has probability 1; an empty table gives no rows. A text longer than `block_tokens` makes a block of
-    its own. Words are told apart by 64-bit hashes.
+    rows every token has probability 1; an empty table gives no rows. Long texts go into several
+    blocks in parts of about `part_bytes`, so memory is bounded (a single word is never cut). Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     train = fold(F.col(key)) != 1 if train is None else train
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType.simpleString()
     spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    blocks = make_blocks(docs, key, text, train, block_tokens).repartition(partitions, "block").checkpoint()
+    blocks = make_blocks(docs, key, text, train, order, block_tokens, part_bytes).checkpoint()
     tokens = blocks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
     # About two bytes of packed tokens make a token; a power of two, as buckets are ranges of hashes.
     buckets = 1 << max(0, math.ceil(math.log2(max(1, partitions, tokens / 2 / bucket_ngrams))))
@@ -365,7 +399,7 @@ def score_documents(
     for n in range(2, order + 1):
 
         def ask(row: dict, answers: Answers, n: int = n) -> Iterator[pa.RecordBatch]:
-            block = Block(row["tokens"], row["words"], row["lengths"], row["train"])
+            block = Block(row)
             lower = probabilities(block, answers, levels, words, n - 1)
             counts, own = answers.get("count", n)
             _, first, _ = block.ngrams(n)
@@ -378,21 +412,28 @@ def score_documents(
             values[0] = values[0].astype(np.uint64)
             yield _batch(list(_asked("context", n, row["block"], buckets, contexts, *values)), ASKED)
 
-        told = told.unionByName(answer(_answered(blocks.drop("keys"), told, ask, ASKED)))
+        told = told.unionByName(answer(_answered(blocks.drop("keys", "docs"), told, ask, ASKED)))
     base = 0.5 * (levels[0].distinct + 1)
 
     def score(row: dict, answers: Answers) -> Iterator[pa.RecordBatch]:
-        block = Block(row["tokens"], row["words"], row["lengths"], row["train"])
+        block = Block(row)
         _, _, places = block.ngrams(1)
         counts = answers.get("count", 1)[0].astype(float)[places]
         logs = np.log10(probabilities(block, answers, levels, words, order))
         plain = np.log10((counts + 0.5) / (levels[0].tokens + base))
-        sums = [np.add.reduceat(v, block.starts) for v in ((counts > 0).astype(np.int64), plain, logs)]
-        names = ["key", "train", "n_tokens", "n_known", "base_score", "score"]
-        yield pa.RecordBatch.from_arrays([row["keys"], *map(pa.array, (block.train, block.lengths, *sums))], names)
-
-    scored = _answered(blocks, told, score, f"key {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select(
-        F.col("key").alias(key), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(levels[0].tokens).cast("bigint").alias("train_tokens"),
-        "base_score", "score",
-    )
+        values = ((counts > 0).astype(np.int64), plain, logs)
+        sums = [np.add.reduceat(np.where(block.own, v, 0), block.starts) for v in values]
+        names = ["doc", "key", "train", "n_tokens", "n_known", "base_score", "score"]
+        columns = (block.train, block.lengths - block.leads, *sums)
+        yield pa.RecordBatch.from_arrays([row["docs"], row["keys"], *map(pa.array, columns)], names)
+
+    numbers = "n_tokens bigint, n_known bigint, base_score double, score double"
+    scored = _answered(blocks, told, score, f"doc bigint, key {kind}, train boolean, {numbers}")
+    # The parts of a text come together; texts are told apart by their numbers, as keys may repeat.
+    whole = scored.groupBy("doc").agg(
+        F.first("key").alias(key),
+        (~F.first("train")).alias("held_out"),
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")],
+    )
+    trained = F.lit(levels[0].tokens).cast("bigint").alias("train_tokens")
+    return whole.select(key, "held_out", "n_tokens", "n_known", trained, "base_score", "score")
