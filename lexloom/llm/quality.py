@@ -139,10 +139,11 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     named = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     marked = attach(named, labelled, ["_key"], ["_key"])
     trusted = F.coalesce(F.col("_good") & ~F.col("_toxic"), F.lit(False))
-    scored = materialize(measure(marked, fit_ratio(marked, trusted, "_text"), "_text", keep=("_key", "_good")))
+    scored = materialize(measure(named, fit_ratio(marked, trusted, "_text"), "_text", keep=("_key",)))
     if threshold is None:
-        means = scored.groupBy("_good").agg(F.avg("score").alias("mean")).where("_good IS NOT NULL").collect()
+        rated = attach(scored.select("_key", "score"), labelled, ["_key"], ["_key", "score"])
+        means = rated.groupBy("_good").agg(F.avg("score").alias("mean")).where("_good IS NOT NULL").collect()
         threshold = sum(row["mean"] for row in means) / 2 if len(means) == 2 else 0.0
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
-    return judged.withColumnRenamed("_key", key).drop("_good")
+    return judged.withColumnRenamed("_key", key)
