@@ -22,7 +22,7 @@ CANDIDATE = (
 TRANSITION = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
 # Formats that are secrets for certain; they only label training rows where no labelled findings are given (fixed values).
 KNOWN_VALUE = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,})$"
-KNOWN_ASSIGNED = r"^[0-9a-f]{16,}$"
+KNOWN_ASSIGNED = r"^[0-9A-Fa-f]{16,}$"
 REDACTED = "[SECRET]"
 
 # So much of the text around a candidate is looked at for neighbouring words.
