@@ -173,7 +173,8 @@ def predict(text: Column, model: Broadcast) -> Column:
         columns = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
         return pa.StructArray.from_arrays(columns, ["lang_pred", "score"])
 
-    return predicted(text)
+    # Not deterministic to the optimizer only: else a filter on the result would predict a second time.
+    return predicted.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5) -> DataFrame:
