@@ -74,6 +74,18 @@ def chain(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`(distinct values in order, a place of each, and for every value its number)`, in little memory."""
+    if not len(values):
+        return values, np.zeros(0, np.int64), np.zeros(0, np.int32)
+    order = np.argsort(values)
+    ordered = values[order]
+    begins = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    numbers = np.empty(len(values), np.int32)
+    numbers[order] = np.cumsum(begins, dtype=np.int32) - 1
+    return ordered[begins], order[begins], numbers
+
+
 def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, SEED)
 
@@ -156,29 +168,37 @@ class Block:
 
     def __init__(self, row: dict):
         self.hashes = unpack(row["words"])
-        self.tokens = unpack(row["tokens"]).astype(np.int64)
+        self.tokens = unpack(row["tokens"]).astype(np.int32)
         self.lengths = unpack(row["lengths"]).astype(np.int64)
         self.leads = unpack(row["leads"]).astype(np.int64)
         self.train = unpack(row["train"]).astype(bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.within = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
         # Leading tokens of a part only give context to those behind them.
-        self.own = self.within >= np.repeat(self.leads, self.lengths)
+        self.own = np.ones(len(self.tokens), bool)
+        for start, lead in zip(self.starts[self.leads > 0], self.leads[self.leads > 0]):
+            self.own[start : start + lead] = False
 
     def contexts(self, order: int) -> np.ndarray:
         """For every token the hash of the `order - 1` words before it; texts begin behind start marks."""
         found = np.zeros(len(self.tokens), np.uint64)
-        words = self.hashes[self.tokens]
         for back in range(order - 1, 0, -1):
-            before = np.concatenate([np.zeros(back, np.uint64), words[:-back]])[: len(words)]
-            before[self.within < back] = _hash(START)
+            before = np.full(len(self.tokens), _hash(START), np.uint64)
+            before[back:] = self.hashes[self.tokens[:-back]]
+            for ahead in range(back):
+                # Tokens fewer than `back` places behind the start of their part have nothing there.
+                before[(self.starts + ahead)[self.lengths > ahead]] = _hash(START)
             found = chain(found, before)
         return found
 
     def ngrams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """`(distinct hashes, the first token of each, its place for each token)`, in the order of hashes."""
-        found = self.hashes[self.tokens] if order == 1 else chain(self.contexts(order), self.hashes[self.tokens])
-        return np.unique(found, return_index=True, return_inverse=True)
+        """`(distinct hashes, a token of each, and its number for each token)`, in the order of hashes."""
+        if order > 1:
+            return _distinct(chain(self.contexts(order), self.hashes[self.tokens]))
+        keys, _, numbers = _distinct(self.hashes)
+        numbers = numbers[self.tokens]
+        first = np.zeros(len(keys), np.int64)
+        first[numbers] = np.arange(len(numbers))
+        return keys, first, numbers
 
     def trained(self, places: np.ndarray, size: int) -> np.ndarray:
         """How often training texts have each n-gram."""
@@ -224,7 +244,7 @@ def _add_counts(rows: list[dict]) -> Iterator[dict]:
     """A bucket of n-grams: the model's rows, counts of counts, and for each block counts and which n-grams it owns."""
     keys = [unpack_sorted(r["keys"]) for r in rows]
     counts = np.concatenate([unpack(r["counts"]) for r in rows])
-    distinct, places = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, _, places = _distinct(np.concatenate(keys))
     total = np.zeros(len(distinct), np.uint64)
     np.add.at(total, places, counts)
     # Exactly one block that has a training n-gram owns it: the first.
@@ -245,7 +265,7 @@ def _add_counts(rows: list[dict]) -> Iterator[dict]:
 def _add_contexts(rows: list[dict]) -> Iterator[dict]:
     """A bucket of contexts: factors for seen n-grams and weights of the lower order, for the model and for each block."""
     keys = [unpack_sorted(r["keys"]) for r in rows]
-    distinct, places = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, _, places = _distinct(np.concatenate(keys))
     sums = [np.bincount(places, np.concatenate([unpack(r[c]) for r in rows]).astype(float), len(distinct)) for c in ("counts", "discounted", "lower")]
     factor, weight = backoff(*sums)
     first = {k: rows[0][k] for k in ("ord", "bucket")}
@@ -349,7 +369,7 @@ def probabilities(block: Block, told: Answers, levels: list[Level], words: tuple
         counts, _ = told.get("count", n)
         _, _, places = block.ngrams(n)
         factor, weight = told.get("context", n)
-        _, context = np.unique(block.contexts(n), return_inverse=True)
+        _, _, context = _distinct(block.contexts(n))
         seen = discount(counts, levels[n - 1].ratios)[places]
         found = np.where(counts[places] > 0, factor[context] * seen, weight[context] * found)
     return found
@@ -403,7 +423,7 @@ def score_documents(
             lower = probabilities(block, answers, levels, words, n - 1)
             counts, own = answers.get("count", n)
             _, first, _ = block.ngrams(n)
-            contexts, context = np.unique(block.contexts(n), return_inverse=True)
+            contexts, _, context = _distinct(block.contexts(n))
             mine = np.flatnonzero(own)
             at = context[first[mine]]
             values = [
