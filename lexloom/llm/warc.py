@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
