@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexloom.checkpoints import materialize
 from lexloom.schemas import DEFAULT_SAMPLE_ROWS, DEFAULT_SEED
