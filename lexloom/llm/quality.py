@@ -18,6 +18,8 @@ MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
+# Scores of labelled texts are counted in so many bins a unit to find the default threshold.
+BINS = 1024
 
 
 def words_of(text: Column) -> Column:
@@ -125,13 +127,34 @@ def measure(docs: DataFrame, ratios: list[float], text: str = "text", keep: tupl
     return found.select(*keep, "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "m.score")
 
 
+def best_cut(counts: list[tuple[int, int, int]]) -> float | None:
+    """The score that tells classes apart with the least class-balanced error, from `(bin, good, bad)` of every filled bin.
+
+    It is the middle of the empty bins around the cut; of equal cuts the lowest. None if a class is missing.
+    """
+    counts = sorted(counts)
+    all_good, all_bad = sum(good for _, good, _ in counts), sum(bad for _, _, bad in counts)
+    if not all_good or not all_bad:
+        return None
+    lost, passed = 0, all_bad
+    # At first all are kept: the cut is where the lowest bin begins.
+    least, cut = 1.0, float(counts[0][0])
+    for (bin, good, bad), above in zip(counts, [at for at, _, _ in counts[1:]] + [counts[-1][0] + 1]):
+        lost, passed = lost + good, passed - bad
+        error = lost / all_good + passed / all_bad
+        if error < least:
+            least, cut = error, (bin + 1 + above) / 2
+    return cut / BINS
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float | None = None) -> DataFrame:
     """Measures of every document with `base_failed` and `kept`.
 
     Texts labelled of good quality and not toxic are the trusted target, all texts the raw corpus. A document is kept
-    if it passes the base rules and scores at least `threshold`, by default halfway between the mean scores of documents
-    labelled good and bad (0 if one of them is missing). Null and blank texts fail the base rules. A key with several
-    labels is good if all are; null keys have no label; repeated rows are judged each; an empty table gives no rows.
+    if it passes the base rules and scores at least `threshold`, by default the score that best tells trusted from bad
+    ones among all labelled texts that pass the base rules (0 if one of them is missing). Null and blank texts fail the
+    base rules. A key with several labels is good if all are; null keys have no label; repeated rows are judged each; an
+    empty table gives no rows.
     """
     rules = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
     good = rules.agg((F.min("quality") == 1).alias("_good"), (F.max(F.coalesce("toxic", F.lit(0))) == 1).alias("_toxic"))
@@ -140,10 +163,13 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marked = attach(named, labelled, ["_key"], ["_key"])
     trusted = F.coalesce(F.col("_good") & ~F.col("_toxic"), F.lit(False))
     scored = materialize(measure(named, fit_ratio(marked, trusted, "_text"), "_text", keep=("_key",)))
-    if threshold is None:
-        rated = attach(scored.select("_key", "score"), labelled, ["_key"], ["_key", "score"])
-        means = rated.groupBy("_good").agg(F.avg("score").alias("mean")).where("_good IS NOT NULL").collect()
-        threshold = sum(row["mean"] for row in means) / 2 if len(means) == 2 else 0.0
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    if threshold is None:
+        rated = attach(scored.where(~failed).select("_key", "score"), labelled, ["_key"], ["_key", "score"])
+        # Toxic texts of good quality are on neither side. Ratios are bounded, and so is the number of bins.
+        bins = rated.where("NOT (_good AND _toxic)").groupBy(F.floor(F.col("score") * BINS).alias("bin"))
+        counts = bins.agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad")).collect()
+        cut = best_cut([tuple(row) for row in counts])
+        threshold = 0.0 if cut is None else cut
     judged = scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
     return judged.withColumnRenamed("_key", key)

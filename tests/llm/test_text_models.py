@@ -85,6 +85,20 @@ def test_quality_of_labelled_documents(spark):
     assert sums[1]["kept"] > 0.99 and sums[0]["kept"] < 0.3
 
 
+def test_quality_of_labelled_documents_in_a_larger_table(spark):
+    rows = queries.op7_quality(spark, "/root/testdata/sf0.1").join(queries.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id")
+    shares = rows.where("NOT base_failed").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {(r["quality"], r["toxic"]): r["kept"] for r in shares.collect()}
+    assert kept[1, 0] > 0.99 and kept[0, 0] < 0.05 and kept[0, 1] < 0.05
+
+
+def test_cut_between_classes():
+    # The lowest hump of bad texts would pull a midpoint of means below the other one.
+    assert quality.best_cut([(-1400, 0, 60), (-200, 0, 40), (-60, 1, 0), (20, 99, 1)]) * quality.BINS == (-199 - 60) / 2
+    assert quality.best_cut([(0, 5, 0)]) is None and quality.best_cut([]) is None
+    assert quality.best_cut([(3, 2, 2)]) * quality.BINS == 3
+
+
 def test_quality_of_odd_rows(spark):
     texts = [None, "", "   \n\t", "a " * 9, "a b c d e f g h " * 3 + "z", "x\n\nx\ny\n \n \nx", "|<>#*$%&", "w" * 100_000, "é ü " * 40, " ".join(map(str, range(5000)))]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "a b"), (4, texts[4])], "doc_id bigint, text string").withColumns({"score": F.lit("x"), "_key": F.lit(1)})
