@@ -20,9 +20,17 @@ CANDIDATE = (
 )
 # Places between characters of different classes.
 TRANSITION = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
-# Formats that are secrets for certain; they only label training rows where no labelled findings are given (fixed values).
+# What is a secret or harmless for certain; it only labels training rows where no labelled findings are given (fixed values).
 KNOWN_VALUE = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,})$"
 KNOWN_ASSIGNED = r"^[0-9A-Fa-f]{16,}$"
+# Behind a telling name, a run of key characters so long, mixed and varied is no name of a variable, no call and no path.
+RANDOM_ASSIGNED, RANDOM_DISTINCT, RANDOM_MIXES = r"^[A-Za-z0-9+/_=-]{16,}$", 10, 3
+MIX = r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
+# Numbers of phones, cards and accounts, dates and times; words and short numbers; paths of words. Longer values are none.
+NUMBERS = r"^[0-9][0-9+/_-]*$|^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{0,6}$"
+WORDS = r"^[A-Za-z]+[0-9]{0,4}(?:[_-](?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4}))*$"
+PATH = r"^/?(?:[a-z]+(?:[_-][a-z]+)*[0-9]{0,2}/)+[a-z]*(?:[_-][a-z]+)*[0-9]{0,4}$"
+HARMLESS_CHARS = 256
 REDACTED = "[SECRET]"
 
 # So much of the text around a candidate is looked at for neighbouring words.
@@ -128,9 +136,18 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def label_by_format(rows: DataFrame) -> DataFrame:
-    """Labelled findings where nobody has labelled any: 1 for values whose format leaves no doubt, else 0."""
-    known = F.col("value").rlike(KNOWN_VALUE) | (F.col("assigned") & F.col("value").rlike(KNOWN_ASSIGNED))
-    return rows.withColumn("label", known.cast("double"))
+    """Labels where nobody has given any: 1 for what is a secret for certain, 0 for what is certainly harmless, else null.
+
+    Behind a telling name nothing is certainly harmless but words that the corpus has.
+    """
+    value, letters = F.col("value"), F.regexp_count("value", F.lit("[A-Za-z]"))
+    varied = (F.size(F.array_distinct(F.split(value, ""))) >= RANDOM_DISTINCT) & (F.regexp_count(value, F.lit(MIX)) >= RANDOM_MIXES)
+    random = value.rlike(RANDOM_ASSIGNED) & varied & (F.col("covered") < 0.3)
+    known = value.rlike(KNOWN_VALUE) | (F.col("assigned") & (value.rlike(KNOWN_ASSIGNED) | random))
+    short = F.when(F.col("length") <= HARMLESS_CHARS, value)
+    in_words = short.rlike(WORDS) & (F.col("covered") * F.col("length") > letters - 0.5)
+    plain = F.when(F.col("assigned"), in_words & ~value.rlike("[0-9]")).otherwise(short.rlike(NUMBERS) | short.rlike(PATH) | in_words)
+    return rows.withColumn("label", F.when(known, 1.0).when(plain, 0.0))
 
 
 def fit_forest(labelled: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> RandomForestClassificationModel | None:
@@ -159,9 +176,11 @@ def scan(
     """Every candidate of every whole text with `score` (the forest's) and `is_secret`.
 
     `findings` are labelled findings `(key, start, label)`; without them, candidates of all folds but the first are
-    labelled by format, which the features do not see. If one class is missing, every candidate is of the other, and
-    none is a secret if there is nothing labelled. Null and empty texts have no candidates; rows with null keys are
-    scanned; repeated rows give their candidates each; an empty table gives no rows.
+    labelled by format, which the features do not see; those whose format decides nothing are not learnt from. If one class
+    is missing, every candidate is of the other, and none is a secret if there is nothing labelled. Forests do not tell
+    formats they have not seen, so without `findings` an undecided value behind a telling name that mixes letters and
+    digits is a secret whatever the forest says; it scores `threshold` at least. Null and empty texts have no
+    candidates; rows with null keys are scanned; repeated rows give their candidates each; an empty table gives no rows.
     """
     found = candidates(docs, key, text, path)
     rows = materialize(with_features(found, dictionary(docs, text)))
@@ -176,6 +195,10 @@ def scan(
         scored = rows.withColumn("score", F.lit(float(only)))
     else:
         scored = model.transform(rows).withColumn("score", F.round(vector_to_array("probability")[1], 6))
+    if findings is None:
+        mixed = F.col("label").isNull() & F.col("assigned") & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+        score = F.when(mixed, F.greatest("score", F.lit(threshold))).otherwise(F.col("score"))
+        scored = label_by_format(scored).withColumn("score", score)
     scored = scored.withColumn("is_secret", F.col("score") >= threshold)
     kept = ("n", "start", "length", "value", "assigned", "covered", "k1", "k2", "score", "is_secret")
     return scored.select(F.col("key").alias(key), *kept)
