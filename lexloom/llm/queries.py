@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, embeddings, katz, language, mixing, quality, secrets, sharding, simhash, warc
+from lexloom.llm import bpe, embeddings, katz, language, mixing, quality, secrets, sharding, simhash, suffixes, warc
 from lexloom.llm.shared import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -76,6 +76,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixes.repeated_spans(table(spark, sf_dir, "documents"), width=50)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, span: n + span["end"] - span["start"])
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 OP1_SQL = """
@@ -152,7 +164,7 @@ FROM rated
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_katz, op3_embedding_dedup, op4_mixing, op5_secrets, op6_bpe, op7_quality, op8_language, op9_sharding, op10_simhash)
+    found = (op1_warc, op2_katz, op3_embedding_dedup, op4_mixing, op5_secrets, op6_bpe, op7_quality, op8_language, op9_sharding, op10_simhash, op11_suffixes)
     return {f.__name__: f for f in found}
 
 
