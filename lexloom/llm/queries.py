@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, embeddings, katz, language, mixing, quality, secrets, sharding, simhash, suffixes, warc
+from lexloom.llm import bpe, embeddings, katz, language, mixing, negatives, prefixes, quality, secrets, sharding, simhash, suffixes, warc
 from lexloom.llm.shared import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -88,6 +88,16 @@ def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixes.turn_table(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return prefixes.trie_nodes(*prefixes.rebuilt_turns(turns))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 OP1_SQL = """
@@ -163,10 +173,75 @@ FROM rated
 """
 
 
+OP12_SQL = """
+WITH RECURSIVE turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), sized AS (
+    SELECT conv_id, count(*) AS n,
+        -- CRC-32, bit by bit, of the digits.
+        xor(list_reduce(
+            list_transform(range(0, len(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i::INT + 1, 1))::BIGINT),
+            lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, k: xor(c >> 1, 3988292384 * (c & 1))),
+            4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h
+    FROM turns GROUP BY conv_id
+), rebuilt AS (
+    SELECT s.conv_id, t.place, role, text FROM sized s JOIN turns t ON t.conv_id = s.conv_id - s.conv_id % 5 AND t.place < s.h
+    UNION ALL
+    SELECT s.conv_id, least(s.h, coalesce(b.n, 0)) + t.place - s.h, role, text
+    FROM sized s JOIN turns t ON t.conv_id = s.conv_id AND t.place >= s.h LEFT JOIN sized b ON b.conv_id = s.conv_id - s.conv_id % 5
+), sequences AS (
+    SELECT s.conv_id, coalesce(list(md5(concat(strlen(role), ':', role, text)) ORDER BY place) FILTER (WHERE place IS NOT NULL), []) AS turns,
+        coalesce(list(strlen(text) ORDER BY place) FILTER (WHERE place IS NOT NULL), []) AS sizes
+    FROM sized s LEFT JOIN rebuilt r ON r.conv_id = s.conv_id GROUP BY s.conv_id
+), prefixes AS (
+    SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns, sizes FROM sequences
+), nodes AS (
+    SELECT turns[:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        any_value(CASE WHEN depth = 0 THEN 0 ELSE sizes[depth] END) AS bytes,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = len(turns)), '')) AS ends_sha256
+    FROM prefixes GROUP BY ALL
+), children AS (
+    SELECT path[:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), sums AS (
+    SELECT path[:up] AS path, sum(CASE WHEN n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+    FROM (SELECT nodes.*, children.n, unnest(range(0, depth + 1)) AS up FROM nodes LEFT JOIN children USING (path)) GROUP BY ALL
+)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves::BIGINT AS n_leaves,
+    s.saved_tokens::BIGINT AS saved_tokens, a.ends_sha256
+FROM nodes a JOIN sums s USING (path) LEFT JOIN children c USING (path)
+LEFT JOIN nodes p ON a.depth > 0 AND p.path = a.path[:a.depth - 1]
+"""
+
+OP13_SQL = """
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+        AND coalesce(list_bool_and(list_transform(embedding, lambda x: isfinite(x))), true)
+), scored AS (
+    SELECT a.vec_id AS anchor_id, o.vec_id AS other, a.label = o.label AS same, list_dot_product(a.v, o.v)::BIGINT AS score
+    FROM vectors a JOIN vectors o ON a.vec_id <> o.vec_id AND len(a.v) = len(o.v) WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id,
+    (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other))::INTEGER AS rank,
+    other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_katz, op3_embedding_dedup, op4_mixing, op5_secrets, op6_bpe, op7_quality, op8_language, op9_sharding, op10_simhash, op11_suffixes)
+    found = (op1_warc, op2_katz, op3_embedding_dedup, op4_mixing, op5_secrets, op6_bpe, op7_quality, op8_language, op9_sharding, op10_simhash, op11_suffixes, op12_prefixes, op13_negatives)
     return {f.__name__: f for f in found}
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op4_mixing": OP4_SQL}
+    return {"op1_warc": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op12_prefixes": OP12_SQL, "op13_negatives": OP13_SQL}

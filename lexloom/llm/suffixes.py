@@ -9,7 +9,6 @@ and the bytes they cover; distinct phrases are dealt by anchor, and every bucket
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -369,22 +368,27 @@ def repeated_spans(
         if not block.num_rows:
             return schema.empty_table()
         keys, sizes, data = _unpack(block)
-        edges = np.zeros(len(data) + 1, np.int32)
+        found = np.zeros(len(data), np.int32)
         at, bits = (hit.column(name).to_numpy() for name in ("at", "bits"))
         for i in range(RUN):
-            starts = at[bits >> i & 1 == 1] + i
-            np.add.at(edges, starts, 1)
-            np.subtract.at(edges, starts + width, 1)
-        gone = np.cumsum(edges[:-1]) > 0
+            found[at[bits >> i & 1 == 1] + i] = 1
+        # A byte is covered if one of the last `width` places starts a repeated string.
+        seen = np.cumsum(found)
+        gone = seen > np.concatenate([np.zeros(min(width, len(data)), np.int64), seen[:-width]])
         ends = np.cumsum(sizes)
-        spans, kept = [], []
-        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
-            own = gone[a:b]
-            turns = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))).tolist()
-            spans.append([{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2])])
-            kept.append(data[a:b][~own].tobytes() if turns else data[a:b].tobytes())
+        edge = np.zeros(len(data) + 1, bool)
+        edge[ends] = edge[:1] = True
+        opens = np.flatnonzero(gone & (edge[:-1] | ~np.append(False, gone[:-1])[: len(gone)]))
+        closes = np.flatnonzero(gone & (edge[1:] | ~np.append(gone[1:], False)[: len(gone)])) + 1
+        text = np.searchsorted(ends, opens, "right")
+        base = (ends - sizes)[text]
+        parts = pa.StructArray.from_arrays([pa.array(opens - base), pa.array(closes - base)], ["start", "end"])
+        counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(sizes)))]).astype(np.int32)
+        spans = pa.ListArray.from_arrays(pa.array(counts), parts)
+        left = np.concatenate([[0], np.cumsum(~gone)])[np.concatenate([[0], ends])].astype(np.int32)
+        kept = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(left), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
         told = pa.array(keys, mask=keys == NO_KEY)
-        return pa.table([told, pa.array(sizes), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], schema=schema)
+        return pa.Table.from_arrays([told, pa.array(sizes), spans.cast(pa.list_(span)), kept], schema=schema)
 
     fields = "key bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
     removed = blocks.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(remove, fields)
