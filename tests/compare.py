@@ -24,6 +24,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def normalized(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)]
+    # Whole numbers with nulls come as doubles from one side and as integers from the other.
+    frame = frame.apply(lambda c: c.astype("Int64") if c.dtype.kind == "f" and c.hasnans and (c.dropna() % 1 == 0).all() else c)
     frame = frame.astype(object).where(frame.notna(), None)
     rows = sorted(map(repr, frame.itertuples(index=False, name=None)))
     return list(frame.columns), rows
