@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +63,15 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect garbage, upon which executors delete the shuffle files of plans that nothing refers to.
+
+    Spark does so every half hour by itself, too late for a job that shuffles much in several steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_materialized(spark: SparkSession) -> int:
     """Delete everything `materialize` has written in this application; returns the number of folders."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
