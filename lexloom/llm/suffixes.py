@@ -18,22 +18,24 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.checkpoints import materialize, release
+from lexloom.checkpoints import forget_shuffles, materialize, release
 from lexloom.operators.lookup import attach
 
 DEFAULT_WIDTH = 50
 # Texts travel in blocks of about so many bytes and at most so many rows; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 1 << 15
 # Of a block, so many positions are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 # Anchors that one task compares, and phrases whose suffixes one task sorts, on average.
-BUCKET_ANCHORS = 1 << 21
+BUCKET_ANCHORS = 1 << 20
 BUCKET_PHRASES = 1 << 14
 # A longer run of windows with one anchor (as in a run of equal bytes) is cut.
 RUN = 32
 # Beyond so many distinct phrases around one anchor, its windows are grouped by content, each on its own.
 HOT_PHRASES = 1 << 16
+# Phrases with more than one in so many of all occurrences are looked up by broadcast; there are at most so many of them.
+FREQUENT = 1_000
 # Documents without a key count as later than all others.
 NO_KEY = np.iinfo(np.int64).max
 
@@ -109,8 +111,10 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return merged
 
 
-def earliest_holders(phrases: list[bytes], keys: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each window of each phrase, the least key of all phrases that hold it.
+def earliest_holders(phrases: list[bytes], keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each phrase, the least key of all phrases that hold it; and the number of windows of each phrase.
+
+    A phrase whose windows agree has one number for all of them.
 
     Suffixes of all phrases are sorted together; those that start windows are kept in that order, and neighbours whose
     first `width` bytes agree hold the same window.
@@ -140,7 +144,14 @@ def earliest_holders(phrases: list[bytes], keys: np.ndarray, width: int) -> list
     least = np.minimum.reduceat(keys[owner[order]], groups) if len(order) else keys[:0]
     found = np.zeros(len(text), np.int64)
     found[order] = np.repeat(least, np.diff(np.append(groups, len(order))))
-    return [found[a : a + size - width + 1] for a, size in zip(starts.tolist(), sizes.tolist())]
+    counts = sizes - width + 1
+    found = found[opens]
+    begins = np.cumsum(counts) - counts
+    agree = np.minimum.reduceat(found, begins) == np.maximum.reduceat(found, begins)
+    told = np.ones(len(found), bool)
+    told[agree.repeat(counts)] = False
+    told[begins] = True
+    return found[told], np.where(agree, 1, counts)
 
 
 # ---- blocks and anchors ----
@@ -150,10 +161,10 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts packed into blocks: rows, keys and sizes as 64-bit numbers, bytes compressed."""
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
+        texts = batch.column("text").cast(pa.binary())
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         rows = batch.column("row").to_numpy()
-        keys = pc.fill_null(batch.column("key"), NO_KEY).to_numpy(zero_copy_only=False)
+        keys = batch.column("key").to_numpy()
         total, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             base = int(total[at] - sizes[at])
@@ -304,19 +315,18 @@ def _phrases(blocks: DataFrame, shared: DataFrame, width: int) -> DataFrame:
     return cut_up.applyInArrow(cut, "block bigint, at bigint, key bigint, anchor bigint, phrase binary")
 
 
-def _holders(phrases: DataFrame, width: int) -> DataFrame:
+def _holders(distinct: DataFrame, width: int) -> DataFrame:
     """`(anchor, code, least)`: for every distinct phrase the least key that holds each of its windows; one number if all agree."""
-    distinct = materialize(phrases.groupBy("anchor", "phrase").agg(F.min("key").alias("key")).withColumn("code", F.xxhash64("phrase")))
-    counted = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    hot = materialize(counted.where(F.col("n") > HOT_PHRASES).select("anchor", F.lit(True).alias("hot")))
-    marked = attach(distinct, hot, ["anchor"], ["code"])
+    counted = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"))
+    hot = materialize(counted.where(F.col("m") > HOT_PHRASES).select("anchor", F.lit(True).alias("hot")))
+    marked = attach(distinct.drop("n"), hot, ["anchor"], ["code"])
     buckets = distinct.count() // BUCKET_PHRASES + 1
 
     def sort(group: pa.Table) -> pa.Table:
         keys = group.column("key").to_numpy()
-        least = earliest_holders(group.column("phrase").to_pylist(), keys, width)
-        least = [m[:1] if (m == m[0]).all() else m for m in least]
-        return pa.table({"anchor": group.column("anchor"), "code": group.column("code"), "least": pa.array(least, pa.list_(pa.int64()))})
+        least, counts = earliest_holders(group.column("phrase").to_pylist(), keys, width)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(least))
+        return pa.table({"anchor": group.column("anchor"), "code": group.column("code"), "least": lists})
 
     few = marked.where("hot IS NULL").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     found = few.groupBy("bucket").applyInArrow(sort, "anchor bigint, code bigint, least array<bigint>")
@@ -336,31 +346,53 @@ def repeated_spans(
 
     A byte is removed if a string of `width` bytes that covers it also starts in a row with a smaller key. Matches never
     cross rows, overlaps count, and all strings are judged on the input. A null text is empty. A null key is later than
-    every other and given back as null; rows with equal keys do not remove each other's strings. Repeated rows stay; an
+    every other and given back as null; rows with equal keys do not remove each other's strings. Copies are told by 128 bits
+    of hashes and their size, phrases around an anchor by the anchor and 64 bits. Repeated rows stay; an
     empty table gives no rows. Only `key` and `text` are read. A text must fit a task's memory some forty times over.
     """
     if width < 4:
         raise ValueError("passages have at least 4 bytes")
-    named = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    numbered = named.withColumn("row", F.monotonically_increasing_id())
+    spark = docs.sparkSession
+    named = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    marks = {"size": F.octet_length("text"), "h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
+    named = named.withColumns(marks)
+    # Whole copies of earlier documents are gone anyway, and would only make all of the first one's windows worth a look.
+    same = named.where(F.col("size") >= width).groupBy("size", "h1", "h2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = materialize(same.where("n > 1").drop("n"))
+    met = attach(named, copies, ["size", "h1", "h2"], ["key"])
+    later = F.coalesce(F.col("first") < F.col("key"), F.lit(False))
+    numbered = met.where(~later).select("key", "text", F.monotonically_increasing_id().alias("row"))
     fields = "block bigint, rows binary, keys binary, sizes binary, data binary"
     blocks = materialize(numbered.mapInArrow(_block_rows, fields))
     total = blocks.agg(F.count(F.lit(1)).alias("n")).first()["n"] * BLOCK_BYTES
     # An anchor comes every width / 4 bytes or so.
     buckets = 4 * total // width // BUCKET_ANCHORS + 1
     shared = materialize(_shared_anchors(blocks, width, buckets))
-    phrases = materialize(_phrases(blocks, shared, width))
+    forget_shuffles(spark)
+    windows = F.octet_length("phrase") - (width - 1)
+    phrases = materialize(_phrases(blocks, shared, width).withColumns({"code": F.xxhash64("phrase"), "n": windows}))
     release(shared)
-    holders = materialize(_holders(phrases, width))
-    placed = phrases.select("block", "at", "key", "anchor", F.xxhash64("phrase").alias("code"), (F.octet_length("phrase") - (width - 1)).alias("n"))
-    judged = attach(placed, holders, ["anchor", "code"], ["block", "at"])
+    forget_shuffles(spark)
+    grouped = phrases.groupBy("anchor", "code", "phrase").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    distinct = materialize(grouped)
+    forget_shuffles(spark)
+    holders = materialize(_holders(distinct, width))
+    forget_shuffles(spark)
+    # Rows of the most frequent phrases find their holders where they are; there are at most `FREQUENT` of these.
+    least = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // FREQUENT
+    often = distinct.where(F.col("n") > least).select("anchor", "code")
+    few = materialize(holders.join(F.broadcast(often), ["anchor", "code"]).withColumnRenamed("least", "known"))
+    placed = phrases.select("block", "at", "key", "anchor", "code", "n").join(F.broadcast(few), ["anchor", "code"], "left")
+    rare = placed.where("known IS NULL").drop("known").join(holders, ["anchor", "code"])
+    judged = rare.unionByName(placed.where("known IS NOT NULL").withColumnRenamed("known", "least"))
     # One bit for each window of the run that an earlier document holds.
     every = F.when(F.get("least", F.lit(0)) < F.col("key"), F.expr("shiftleft(1L, n) - 1")).otherwise(0)
     each = F.expr("aggregate(sequence(1, n), 0L, (bits, i) -> bits + if(element_at(least, i) < key, shiftleft(1L, i - 1), 0L))")
     bits = F.when(F.size("least") == 1, every).otherwise(each)
     hits = materialize(judged.select("block", "at", bits.alias("bits")).where("bits != 0"))
-    release(phrases)
-    release(holders)
+    for written in (phrases, distinct, holders, few):
+        release(written)
+    forget_shuffles(spark)
 
     def remove(block: pa.Table, hit: pa.Table) -> pa.Table:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -387,9 +419,11 @@ def repeated_spans(
         spans = pa.ListArray.from_arrays(pa.array(counts), parts)
         left = np.concatenate([[0], np.cumsum(~gone)])[np.concatenate([[0], ends])].astype(np.int32)
         kept = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(left), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
-        told = pa.array(keys, mask=keys == NO_KEY)
-        return pa.Table.from_arrays([told, pa.array(sizes), spans.cast(pa.list_(span)), kept], schema=schema)
+        return pa.Table.from_arrays([pa.array(keys), pa.array(sizes), spans.cast(pa.list_(span)), kept], schema=schema)
 
     fields = "key bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
     removed = blocks.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(remove, fields)
-    return removed.withColumnRenamed("key", key)
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").cast("bigint").alias("end")))
+    gone = met.where(later).select("key", F.col("size").cast("bigint").alias("n_bytes"), whole.alias("spans"), F.lit(b"").alias("kept"))
+    both = removed.unionByName(gone)
+    return both.withColumn("key", F.nullif("key", F.lit(NO_KEY))).withColumnRenamed("key", key)
