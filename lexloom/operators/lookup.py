@@ -36,19 +36,23 @@ def attach(
     keys: Sequence[str],
     spread_by: Sequence[str],
     limit: int = BROADCAST_BYTES,
+    frequent: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of `rows` with a written `table` that has one row per key; null keys find nothing.
 
     A table of checked size goes to the rows. Beyond that size, the most frequent keys (a bounded number) do, and
     only the other rows meet the table by key. Rows of frequent and of null keys are spread by a hash of
-    `spread_by`, so that no task gets all of them. Rows need identifying values in `spread_by`.
+    `spread_by`, so that no task gets all of them. Rows need identifying values in `spread_by`. `frequent` holds the most
+    frequent keys where they are known already; they must be few, as they go to every executor.
     """
     keys = list(keys)
     values = [name for name in table.columns if name not in keys]
     if table_bytes(table) <= limit:
         return rows.join(F.broadcast(table), keys, "left")
-    frequent = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
-    hot = table.join(F.broadcast(frequent.drop("_n")), keys).select(*keys, F.struct(*values).alias("_hot"))
+    if frequent is None:
+        counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        frequent = counted.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).drop("_n")
+    hot = table.join(F.broadcast(frequent), keys).select(*keys, F.struct(*values).alias("_hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")
     # The slot of a row that meets the table here is its key's; any other row gets one of its own. It is no constant on
     # either side, as the optimizer would then join by the keys alone.
