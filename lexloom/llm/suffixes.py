@@ -319,7 +319,7 @@ def _holders(distinct: DataFrame, width: int) -> DataFrame:
     """`(anchor, code, least)`: for every distinct phrase the least key that holds each of its windows; one number if all agree."""
     counted = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"))
     hot = materialize(counted.where(F.col("m") > HOT_PHRASES).select("anchor", F.lit(True).alias("hot")))
-    marked = attach(distinct.drop("n"), hot, ["anchor"], ["code"])
+    marked = attach(distinct.drop("times"), hot, ["anchor"], ["code"])
     buckets = distinct.count() // BUCKET_PHRASES + 1
 
     def sort(group: pa.Table) -> pa.Table:
@@ -369,28 +369,27 @@ def repeated_spans(
     buckets = 4 * total // width // BUCKET_ANCHORS + 1
     shared = materialize(_shared_anchors(blocks, width, buckets))
     forget_shuffles(spark)
-    windows = F.octet_length("phrase") - (width - 1)
-    phrases = materialize(_phrases(blocks, shared, width).withColumns({"code": F.xxhash64("phrase"), "n": windows}))
+    phrases = materialize(_phrases(blocks, shared, width))
     release(shared)
     forget_shuffles(spark)
-    grouped = phrases.groupBy("anchor", "code", "phrase").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
-    distinct = materialize(grouped)
+    code, windows = F.xxhash64("phrase").alias("code"), (F.octet_length("phrase") - (width - 1)).alias("n")
+    grouped = phrases.groupBy("anchor", "phrase").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times"))
+    distinct = materialize(grouped.withColumn("code", code))
     forget_shuffles(spark)
     holders = materialize(_holders(distinct, width))
     forget_shuffles(spark)
-    # Rows of the most frequent phrases find their holders where they are; there are at most `FREQUENT` of these.
-    least = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // FREQUENT
-    often = distinct.where(F.col("n") > least).select("anchor", "code")
-    few = materialize(holders.join(F.broadcast(often), ["anchor", "code"]).withColumnRenamed("least", "known"))
-    placed = phrases.select("block", "at", "key", "anchor", "code", "n").join(F.broadcast(few), ["anchor", "code"], "left")
-    rare = placed.where("known IS NULL").drop("known").join(holders, ["anchor", "code"])
-    judged = rare.unionByName(placed.where("known IS NOT NULL").withColumnRenamed("known", "least"))
+    # The most frequent phrases are known; there are at most `FREQUENT` of them.
+    share = distinct.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] // FREQUENT
+    often = materialize(distinct.where(F.col("times") > share).select("anchor", "code"))
+    release(distinct)
+    placed = phrases.select("block", "at", "key", "anchor", code, windows)
+    judged = attach(placed, holders, ["anchor", "code"], ["block", "at"], frequent=often)
     # One bit for each window of the run that an earlier document holds.
     every = F.when(F.get("least", F.lit(0)) < F.col("key"), F.expr("shiftleft(1L, n) - 1")).otherwise(0)
     each = F.expr("aggregate(sequence(1, n), 0L, (bits, i) -> bits + if(element_at(least, i) < key, shiftleft(1L, i - 1), 0L))")
     bits = F.when(F.size("least") == 1, every).otherwise(each)
     hits = materialize(judged.select("block", "at", bits.alias("bits")).where("bits != 0"))
-    for written in (phrases, distinct, holders, few):
+    for written in (phrases, holders, often):
         release(written)
     forget_shuffles(spark)
 
