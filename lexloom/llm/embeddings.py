@@ -19,7 +19,7 @@ DEFAULT_SEED = 42
 BUCKET_ROWS = 128
 MAX_BITS = 40
 # … and tables so that a pair exactly at the threshold meets in one of them with this probability.
-RECALL = 0.9995
+RECALL = 1 - 1e-6
 # A larger bucket is compared in blocks of about so many rows, each pair of blocks in a task of its own.
 BLOCK_ROWS = 2_048
 
@@ -95,7 +95,7 @@ def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _block_links(sides, codes, vectors, table: int, threshold: float):
+def _block_links(sides, codes, vectors, weights, table: int, threshold: float):
     """Of one bucket block: links first met in this table, per row, and for each row the smallest linked place.
 
     `sides` tells the rows of the first block (0) from those of the second (1); a block meets itself if there is
@@ -114,9 +114,9 @@ def _block_links(sides, codes, vectors, table: int, threshold: float):
         met = (codes[left[rows], :table] == codes[right[columns], :table]).any(axis=1)
         first[rows[met], columns[met]] = False
     counts = np.zeros(len(sides), np.int64)
-    counts[left] += first.sum(axis=1)
+    counts[left] += first @ weights[right]
     if not itself:
-        counts[right] += first.sum(axis=0)
+        counts[right] += weights[left] @ first
     # A forest of links suffices for components: smallest labels move along links until nothing changes.
     root = np.arange(len(sides))
     while len(rows):
@@ -131,16 +131,17 @@ def _block_links(sides, codes, vectors, table: int, threshold: float):
 
 def linked_vectors(
     rows: DataFrame, threshold: float, key: str, label: str, vector: str, bits: int, tables: int, seed: int = DEFAULT_SEED,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, weight: str | None = None,
 ) -> DataFrame:
     """`(row, other, n_links)`: per task and row the number of links found, and another row of its component or none.
 
     Rows meet the rows of their label with the same code in each table. Buckets are counted first; one of more than
     `block_rows` rows is dealt over blocks, and every pair of blocks is a group of its own, so no task gets an
-    unbounded group. A pair is counted in the first table where its codes agree, so that it counts once. Only counts
-    and one forest edge per row leave a block, never its pairs.
+    unbounded group. A pair is counted in the first table where its codes agree, so that it counts once, and as often
+    as the other row stands for a vector (`weight`). Only counts and one forest edge per row leave a block, never its pairs.
     """
-    chosen = rows.select(F.col(key).alias("row"), F.col(label).alias("label"), F.col(vector).alias("vector"))
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    chosen = rows.select(F.col(key).alias("row"), F.col(label).alias("label"), F.col(vector).alias("vector"), times.alias("weight"))
     coded = materialize(sign_codes(chosen, bits, tables, seed))
     slots = coded.select("row", "label", "codes", F.posexplode("codes").alias("table", "code"))
     counted = slots.groupBy("label", "table", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -157,11 +158,11 @@ def linked_vectors(
         F.struct("label", "code", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).alias("exact"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"),
     )
-    located = placed.join(coded.select("row", "vector", "codes"), "row")
+    located = placed.join(coded.select("row", "vector", "codes", "weight"), "row")
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = located.repartition(partitions, "group").sortWithinPartitions("group", "table", "exact", "side", "row")
     dealt = dealt.select(
-        "row", "side", "table", "codes", "vector", F.to_json(F.struct("group", "table", "exact")).alias("bucket")
+        "row", "side", "table", "codes", "vector", "weight", F.to_json(F.struct("group", "table", "exact")).alias("bucket")
     )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +171,13 @@ def linked_vectors(
                 continue
             ids = run.column("row").to_numpy()
             [(_, codes)] = _by_size(run.column("codes").combine_chunks())
-            sides = run.column("side").to_numpy()
+            sides, weights = run.column("side").to_numpy(), run.column("weight").to_numpy()
             table = run.column("table")[0].as_py()
             # Vectors of different dimensions link with nothing.
             for at, vectors in _by_size(run.column("vector").combine_chunks()):
                 if len(set(sides.tolist())) > 1 and len(set(sides[at].tolist())) < 2:
                     continue
-                counts, root = _block_links(sides[at], codes[at].astype(np.int64), _unit(vectors), table, threshold)
+                counts, root = _block_links(sides[at], codes[at].astype(np.int64), _unit(vectors), weights[at], table, threshold)
                 told = np.flatnonzero((counts > 0) | (root != np.arange(len(at))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at][told]), pa.array(ids[at][root[told]]), pa.array(counts[told])], ["row", "other", "n_links"]
@@ -200,18 +201,28 @@ def near_vectors(
     # Rows get a number of their own, written down, as keys may be null or repeated.
     numbered = materialize(source.withColumn("row", F.monotonically_increasing_id()))
     good = numbered.where(F.col("label").isNotNull() & usable(F.col("vector")))
-    largest = good.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    # Equal vectors of a label are compared with others once, however many they are.
+    same = {"c1": F.xxhash64("label", "vector"), "c2": F.xxhash64("vector", "label", F.lit(1))}
+    classes = good.withColumns(same).groupBy("c1", "c2").agg(
+        F.min("row").alias("class"), F.count(F.lit(1)).alias("times"), F.min_by(F.struct("label", "vector"), "row").alias("v")
+    )
+    classes = materialize(classes.select("c1", "c2", "class", "times", "v.label", "v.vector"))
+    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     bits, tables = hashing_plan(largest, threshold)
-    found = materialize(linked_vectors(good, threshold, "row", "label", "vector", bits, tables, seed))
-    links = materialize(found.groupBy("row").agg(F.sum("n_links").alias("n_links")))
+    found = materialize(linked_vectors(classes, threshold, "class", "label", "vector", bits, tables, seed, weight="times"))
+    links = materialize(found.groupBy("row").agg(F.sum("n_links").alias("n_links")).withColumnRenamed("row", "class"))
     roots = connected_components(found.select(F.col("row").alias("u"), F.col("other").alias("v")))
-    rooted = attach(numbered.select("key", "row"), roots.toDF("row", "root"), ["row"], ["row"])
-    rooted = attach(rooted.withColumn("root", F.coalesce("root", "row")), links, ["row"], ["row"])
+    usual = F.when(F.col("label").isNotNull() & usable(F.col("vector")), True)
+    members = numbered.select("key", "row", *[F.when(usual, c).alias(n) for n, c in same.items()])
+    rooted = attach(members, classes.select("c1", "c2", "class", "times"), ["c1", "c2"], ["row"]).drop("c1", "c2")
+    rooted = attach(attach(rooted, roots.toDF("class", "root"), ["class"], ["row"]), links, ["class"], ["row"])
+    n_links = F.coalesce("n_links", F.lit(0)) + F.coalesce("times", F.lit(1)) - 1
+    rooted = rooted.select("key", "row", F.coalesce("root", "class", "row").alias("root"), n_links.cast("bigint").alias("n_links"))
     firsts = materialize(rooted.groupBy("root").agg(F.min("key").alias("component_id")))
     named = attach(rooted, firsts, ["root"], ["row"])
     return named.select(
         F.col("key").alias(key),
-        F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
+        "n_links",
         F.col("component_id").cast("bigint").alias("component_id"),
         F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)).alias("kept"),
     )

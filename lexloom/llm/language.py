@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.shared import fold, slices
+from lexloom.llm.shared import fold, slices, whole_row
 
 ORDERS = (2, 3)
 BUCKETS = 1 << 15
@@ -194,6 +194,6 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     They keep all their columns; `lang` becomes the prediction.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs.where(fold(F.col(key)) != 0), text, lang))
-    packed = docs.select(predict(F.col(text), model).alias("p"), F.struct(*docs.columns).alias("row"))
+    packed = docs.select(predict(F.col(text), model).alias("p"), whole_row(docs).alias("row"))
     kept = packed.where((F.col("p.score") >= min_score) & (F.col("p.lang_pred") != UNDETERMINED))
     return kept.select(*[F.col("p.lang_pred").alias(lang) if c == lang else F.col("row")[c].alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.checkpoints import materialize
-from lexloom.llm.shared import count_words
+from lexloom.llm.shared import count_words, whole_row
 from lexloom.operators.lookup import attach
 from lexloom.operators.order import number_rows
 
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         F.col(key).alias("key"),
         F.col(source).alias("source"),
         count_words(F.col(text)).alias("words"),
-        F.struct(*docs.columns).alias("row"),
+        whole_row(docs).alias("row"),
     )
     planned = plan_mixture(packed, "key", source="source", size=F.col("words"), **options).where("_copies > 0")
     return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")

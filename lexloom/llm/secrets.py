@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.checkpoints import materialize
-from lexloom.llm.shared import bind, fold
+from lexloom.llm.shared import bind, fold, whole_row
 from lexloom.operators.lookup import attach
 
 # A candidate is a value behind a telling name, a run of at least eight characters of keys with a digit, or a long run of
@@ -210,13 +210,15 @@ def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "
     `found` is what `scan` gave for them. Texts with secrets meet their verdicts by hashes of key and text and are put
     together from the parts between candidates. `chars`, a column with the number of characters, is kept right.
     """
-    verdicts = found.select("k1", "k2", "n", "is_secret").distinct()
+    # Rows equal in key and text may differ in path, and so in verdicts; what is a secret in one of them is hidden in all.
+    verdicts = found.groupBy("k1", "k2", "n").agg(F.max("is_secret").alias("is_secret"))
     listed = verdicts.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("n", "is_secret"))).alias("flags"), F.max("is_secret").alias("any"))
     listed = materialize(listed.where("any").select("k1", "k2", F.col("flags.is_secret").alias("flags")))
     packed = docs.select(
-        F.xxhash64(key, text).alias("k1"), F.xxhash64(text, key, F.lit(1)).alias("k2"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row")
+        F.xxhash64(key, text).alias("k1"), F.xxhash64(text, key, F.lit(1)).alias("k2"), F.col(text).alias("text"), whole_row(docs).alias("row")
     )
-    joined = packed.join(listed, ["k1", "k2"], "left")
+    # Many rows may be equal in key and text, all with a null key and no text, say.
+    joined = attach(packed.withColumn("spread", F.monotonically_increasing_id()), listed, ["k1", "k2"], ["spread"])
     matches = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     hidden = F.zip_with(
         matches, "flags", lambda m, f: F.when(f, F.concat(F.regexp_extract(m, f"^{ASSIGNED}", 0), F.lit(REDACTED))).otherwise(m)

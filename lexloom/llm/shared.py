@@ -27,6 +27,16 @@ def fold(key: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(folds))
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, also with a dot or a backtick in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[quoted(name) for name in df.columns])
+
+
 # Of an Arrow batch, so many rows at a time become Python objects, which keeps workers small.
 SLICE_ROWS = 256
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.checkpoints import materialize, release
 from lexloom.llm.components import connected_components
-from lexloom.llm.shared import slices
+from lexloom.llm.shared import slices, whole_row
 from lexloom.operators.lookup import attach
 
 BITS = 64
@@ -112,9 +112,13 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """
     mark = {"_k1": F.xxhash64(key, text), "_k2": F.xxhash64(text, key, F.lit(1))}
     rows = simhash_components(docs, key, text, shingle, max_bits, mark)
-    order = F.struct(F.col(key).isNull(), key, "_k1", "_k2")
-    kept = materialize(rows.groupBy("root").agg(F.min(order).alias("o")).select("o._k1", "o._k2"))
-    packed = docs.select(*[c.alias(n) for n, c in mark.items()], F.struct(*docs.columns).alias("row"))
-    chosen = packed.join(kept, ["_k1", "_k2"], "left_semi")
-    place = F.expr("row_number() OVER (PARTITION BY _k1, _k2 ORDER BY _k1)")
-    return chosen.withColumn("_n", place).where("_n = 1").select("row.*")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_k1", "_k2").alias("o")
+    counted = materialize(rows.groupBy("root", order).agg(F.count(F.lit(1)).alias("n")))
+    best = materialize(counted.groupBy("root").agg(F.min("o").alias("best")))
+    judged = attach(counted, best, ["root"], ["o"]).select("o._k1", "o._k2", "n", (F.col("o") != F.col("best")).alias("drop"))
+    # Only rows that go, or that repeat a row that stays, are looked up; all others stay where they are.
+    fates = materialize(judged.where("drop OR n > 1").select("_k1", "_k2", "drop"))
+    packed = docs.select(*[c.alias(n) for n, c in mark.items()], F.monotonically_increasing_id().alias("spread"), whole_row(docs).alias("row"))
+    looked = attach(packed, fates, ["_k1", "_k2"], ["spread"])
+    several = looked.where("NOT drop").groupBy("_k1", "_k2").agg(F.first("row").alias("row"))
+    return looked.where("drop IS NULL").select("row").unionByName(several.select("row")).select("row.*")
