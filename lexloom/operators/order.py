@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,9 +17,8 @@ _PLACE_BITS = 33
 # Up to so many first rows, their keys come to the driver; for more, all keys are numbered where they are.
 FEW_ROWS = 10_000
 
-# Drawn rows are sent to every executor up to the first number, and listed in the plan up to the second.
+# Drawn rows are sent to every executor up to this number.
 BROADCAST_ROWS = 100_000
-LISTED_ROWS = 100
 
 
 def _require_order(df: DataFrame, order: Sequence[str]) -> list[str]:
@@ -143,30 +141,59 @@ def sample_rows(
     return head_rows(ranked, ["_lead", "_digest", *key], k).drop("_lead", "_digest")
 
 
-def _if_few(df: DataFrame, rows: int) -> DataFrame:
-    """A table known to have at most `rows` rows, marked for broadcast if those are few."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+# A Feistel network mixes a number's halves in so many rounds.
+FEISTEL_ROUNDS = 6
+# Numbers beyond the table are permuted again; half of them at most stay beyond each time.
+_WALK_STEPS = 120
+
+
+def permuted(number: Column, size: int, seed: int = DEFAULT_SEED) -> Column:
+    """A keyed permutation of 0 … size - 1, computed for each number by itself.
+
+    A Feistel network over the least even number of bits that holds `size` permutes these bits; whatever comes out beyond
+    the last number is put in again until it does not (cycle walking), which keeps the permutation one of 0 … size - 1. Round values
+    are the leading digits of an MD5 hash, which any engine can compute.
+    """
+    half = max(1, ((max(size, 2) - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+
+    def mixed(value: Column) -> Column:
+        left, right = F.shiftright(value, half), value.bitwiseAND(F.lit(mask))
+        for turn in range(FEISTEL_ROUNDS):
+            digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(turn)), right.cast("string")))
+            drawn = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").bitwiseAND(F.lit(mask))
+            left, right = right, left.bitwiseXOR(drawn)
+        return F.shiftleft(left, half) + right
+
+    def again(value: Column, _: Column) -> Column:
+        # The round function reads each half twice, so it runs on a bound value.
+        step = F.element_at(F.transform(F.array(value), mixed), 1)
+        return F.when((value >= 0) & (value < size), value).otherwise(step)
+
+    first = F.element_at(F.transform(F.array(number.cast("bigint")), mixed), 1)
+    walked = F.reduce(F.sequence(F.lit(1), F.lit(_WALK_STEPS)), first, again)
+    return F.when(walked < size, walked).otherwise(F.raise_error(F.lit("the permutation did not settle")))
 
 
 def draw_rows(
     df: DataFrame, order: Sequence[str], k: int = DEFAULT_SAMPLE_ROWS, seed: int = DEFAULT_SEED
 ) -> DataFrame:
-    """k rows at the positions that Python's seeded `random.sample` draws; adds `draw` (from 1) and `row_no`.
+    """k different rows in random order; adds `draw` (from 1) and `row_no`, the row's place in `order` from 0.
 
-    Runs jobs when called, and lists k positions on the driver; for many rows use `sample_rows`.
+    Draw i takes the row at the i-th place of a keyed permutation, so any k gives exactly k rows (all, if there are fewer),
+    the same at any partitioning, and a greater k only adds draws. Places are computed where they are needed, never on
+    the driver; order columns are numbered in sorted ranges. Runs jobs when called.
     """
     order = _require_order(df, order)
     numbered, total = number_keys(df, order)
-    drawn = random.Random(seed).sample(range(total), k=min(k, total))
-    picks = df.sparkSession.createDataFrame(list(zip(drawn, range(1, len(drawn) + 1))), "row_no bigint, draw int")
-    picked = numbered.join(_if_few(picks, k), "row_no")
-    if k <= LISTED_ROWS:
-        # Plain values reach the file scan, which a join does not.
-        keys = picked.collect()
-        picked = df.sparkSession.createDataFrame(keys, picked.schema)
-        for name in order:
-            df = df.where(F.col(name).isin([key[name] for key in keys]))
-    return df.join(_if_few(picked, k), order)
+    k = max(0, min(k, total))
+    places = df.sparkSession.range(k).select(
+        permuted(F.col("id"), max(1, total), seed).alias("row_no"), (F.col("id") + 1).alias("draw")
+    )
+    if k <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    picked = numbered.join(places, "row_no")
+    return df.join(F.broadcast(picked) if k <= BROADCAST_ROWS else picked, order)
 
 
 def _digest(df: DataFrame, names: Sequence[str]) -> Column:

@@ -100,16 +100,28 @@ def test_sample_is_repeatable_at_any_partitioning(spark):
     assert o.sample_rows(df, ["id"], 1000).count() == 500
 
 
-@pytest.mark.parametrize("listed", [0, o.LISTED_ROWS])
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 100, 1000])
+def test_permutation_takes_every_number_once(spark, size):
+    found = [r[0] for r in spark.range(size).select(o.permuted(F.col("id"), size)).collect()]
+    assert sorted(found) == list(range(size))
+    if size >= 64:
+        assert found != sorted(found)
+        assert found != [r[0] for r in spark.range(size).select(o.permuted(F.col("id"), size, seed=7)).collect()]
+
+
 @pytest.mark.parametrize("broadcast", [0, o.BROADCAST_ROWS])
-def test_draw_matches_seeded_python_positions(spark, monkeypatch, listed, broadcast):
-    monkeypatch.setattr(o, "LISTED_ROWS", listed)
+def test_drawn_rows(spark, monkeypatch, broadcast):
     monkeypatch.setattr(o, "BROADCAST_ROWS", broadcast)
-    df, rows = table(spark)
-    positions = random.Random(42).sample(range(500), k=3)
-    drawn = o.draw_rows(df, ["source", "id"]).orderBy("draw").collect()
-    assert [r["row_no"] for r in drawn] == positions
-    assert [(r["source"], r["id"], r["text"]) for r in drawn] == [rows[p] for p in positions]
+    rows = [("b" if i % 3 else "a", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "source string, id int").withColumn("draw_", F.lit(0))
+    drawn = o.draw_rows(df, ["source", "id"], k=20).orderBy("draw").collect()
+    places = {row: i for i, row in enumerate(sorted(rows))}
+    assert [r["draw"] for r in drawn] == list(range(1, 21))
+    assert all(places[r["source"], r["id"]] == r["row_no"] for r in drawn) and len({r["id"] for r in drawn}) == 20
+    # Any partitioning draws the same rows, and more draws begin with the same.
+    again = o.draw_rows(df.repartition(7), ["source", "id"], k=200).orderBy("draw").collect()
+    assert len(again) == 50 and [r["id"] for r in again[:20]] == [r["id"] for r in drawn]
+    assert o.draw_rows(df.limit(0), ["source", "id"]).isEmpty() and o.draw_rows(df, ["source", "id"], k=0).isEmpty()
 
 
 def test_draw_from_few_rows(spark):

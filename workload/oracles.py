@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexloom.operators.order import FEISTEL_ROUNDS
 from lexloom.schemas import (
     ALPACA_SOURCE,
     DEFAULT_EVICTION_RATIO,
@@ -56,8 +57,8 @@ def words_cte(name: str, rows: str, keys: str, max_length: int | None = None) ->
 
 VOCAB = (
     words_cte("vocab_words", "documents", "doc_id"),
-    f"""word_counts AS (SELECT word, count(*) AS cnt FROM vocab_words GROUP BY word)""",
-    f"""vocab AS (
+    f"""word_counts AS MATERIALIZED (SELECT word, count(*) AS cnt FROM vocab_words GROUP BY word)""",
+    f"""vocab AS MATERIALIZED (
         SELECT CAST(place + {len(SPECIAL_TOKENS) - 1} AS INTEGER) AS token_id, word AS token, false AS is_special
         FROM (SELECT word, row_number() OVER (ORDER BY cnt DESC, word) AS place FROM word_counts)
         UNION ALL
@@ -85,13 +86,10 @@ def counts_ctes(rows: str, keys: list[str], max_length: int | None = None) -> tu
     return (
         *VOCAB,
         words_cte("words", rows, key_list, max_length),
-        f"""occurrences AS (
-            SELECT {", ".join(f"words.{key}" for key in keys)}, pos,
-                   CAST(coalesce(token_id, {UNK_ID}) AS INTEGER) AS token_id
-            FROM words LEFT JOIN vocab ON words.word = vocab.token)""",
-        f"""counts AS (
-            SELECT token_id, count(*) AS cnt, min(struct_pack({packed})) AS seen
-            FROM occurrences GROUP BY token_id)""",
+        f"""word_places AS MATERIALIZED (SELECT word, count(*) AS n, min(struct_pack({packed})) AS seen FROM words GROUP BY word)""",
+        f"""counts AS MATERIALIZED (
+            SELECT CAST(coalesce(token_id, {UNK_ID}) AS INTEGER) AS token_id, CAST(sum(n) AS BIGINT) AS cnt, min(seen) AS seen
+            FROM word_places LEFT JOIN vocab ON word = vocab.token GROUP BY ALL)""",
     )
 
 
@@ -253,6 +251,26 @@ def profile_sql() -> str:
     return " UNION ALL ".join(selects)
 
 
+# Unknown words of `words` and their pieces: the longest match at every place, then the places a walk from the left meets.
+SEGMENTED = (
+    "unknown AS (SELECT word FROM word_places WHERE word NOT IN (SELECT token FROM vocab))",
+    "entries AS (SELECT token, min(token_id) AS token_id, length(token) AS n FROM vocab WHERE NOT is_special AND token <> '' GROUP BY token)",
+    """matches AS MATERIALIZED (
+        SELECT word, start, max(entries.n) AS n, arg_max(token_id, entries.n) AS token_id
+        FROM (SELECT word, start, unnest(range(1, length(word) - start + 2)) AS n
+              FROM (SELECT word, unnest(range(1, length(word) + 1)) AS start FROM unknown)) places
+        JOIN entries ON token = substr(word, start, places.n) GROUP BY word, start)""",
+    """walk AS (
+        SELECT word, 0 AS pos, 1::BIGINT AS start FROM unknown
+        UNION ALL
+        SELECT walk.word, pos + 1, walk.start + coalesce(n, 1) FROM walk LEFT JOIN matches ON matches.word = walk.word AND matches.start = walk.start
+        WHERE walk.start + coalesce(n, 1) <= length(walk.word))""",
+    f"""pieces AS (
+        SELECT walk.word, pos, walk.start, CAST(coalesce(token_id, {UNK_ID}) AS INTEGER) AS token_id
+        FROM walk LEFT JOIN matches ON matches.word = walk.word AND matches.start = walk.start)""",
+)
+
+
 def all_oracles() -> dict[str, str]:
     conversation_ctes = CONVERSATION_COUNTS
     report = f"""
@@ -344,7 +362,49 @@ def all_oracles() -> dict[str, str]:
         "p_size || ' ' || p_retailprice AS text FROM part",
         "word_counts": query(*VOCAB[:2], select="SELECT word, cnt FROM word_counts"),
         "vocabulary_entries": query(*VOCAB, select="SELECT * FROM vocab"),
-        "token_ids": query(*conversation[:-1], select="SELECT * FROM occurrences"),
+        "token_ids": query(
+            *conversation[:-2],
+            select=f"""SELECT conv_id, turn, pos, CAST(coalesce(token_id, {UNK_ID}) AS INTEGER) AS token_id
+                FROM words LEFT JOIN vocab ON words.word = vocab.token""",
+        ),
+        "segmented_words": f"WITH RECURSIVE {', '.join((*conversation[:-1], *SEGMENTED))} SELECT word, pos, start - 1 AS start, token_id FROM pieces",
+        "piece_counts": f"""WITH RECURSIVE {', '.join((*conversation[:-1], *SEGMENTED))}
+            SELECT token_id, CAST(sum(n) AS BIGINT) AS cnt FROM (
+                SELECT token_id, n FROM word_places JOIN vocab ON word = token
+                UNION ALL SELECT pieces.token_id, n FROM word_places JOIN pieces USING (word))
+            GROUP BY token_id""",
+        "grown_counts": query(
+            *VOCAB,
+            words_cte(
+                "words",
+                "(SELECT 0 AS part_no, doc_id AS a, 0 AS b, text FROM documents UNION ALL SELECT 2, conv_id, turn, text FROM conversations)",
+                "part_no, a, b",
+            ),
+            """word_places AS MATERIALIZED (
+                SELECT word, count(*) AS n, min(struct_pack(part_no := part_no, a := a, b := b, pos := pos)) AS seen
+                FROM words GROUP BY word)""",
+            select=f"""SELECT token_id, cnt, seen.part_no::BIGINT AS part_no, seen.a AS a, seen.b AS b, seen.pos::BIGINT AS pos FROM (
+                SELECT CAST(coalesce(token_id, {UNK_ID}) AS INTEGER) AS token_id, CAST(sum(n) AS BIGINT) AS cnt, min(seen) AS seen
+                FROM word_places LEFT JOIN vocab ON word = token GROUP BY ALL)""",
+        ),
+        "drawn_rows": f"""
+            WITH RECURSIVE sizes AS (
+                SELECT count(*) AS n, greatest(1, (length(bin(greatest(count(*), 2) - 1)) + 1) // 2)::INTEGER AS half FROM documents
+            ), walk AS (
+                SELECT d AS draw, 0 AS turn, d >> half AS l, d & ((1::BIGINT << half) - 1) AS r
+                FROM (SELECT unnest(range(0, least({DEFAULT_SAMPLE_ROWS}, n))) AS d, half FROM sizes)
+                UNION ALL
+                SELECT draw, CASE turn WHEN {FEISTEL_ROUNDS} THEN 0 ELSE turn + 1 END,
+                    CASE turn WHEN {FEISTEL_ROUNDS} THEN l ELSE r END,
+                    CASE turn WHEN {FEISTEL_ROUNDS} THEN r ELSE xor(l, ('0x' || substr(
+                        md5(concat_ws(':', {DEFAULT_SEED}, turn, r)), 1, 13))::BIGINT & ((1::BIGINT << half) - 1)) END
+                FROM walk, sizes WHERE NOT (turn = {FEISTEL_ROUNDS} AND (l << half) + r < n)
+            ), drawn AS (
+                SELECT draw + 1 AS draw, (l << half) + r AS row_no FROM walk, sizes
+                WHERE turn = {FEISTEL_ROUNDS} AND (l << half) + r < n
+            )
+            SELECT draw, row_no, doc_id, lang FROM drawn JOIN (
+                SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS row_no FROM documents) USING (row_no)""",
         "token_counts": query(*conversation, select=flat_counts(CONVERSATION_KEYS)),
         "document_token_counts": query(*counts_ctes("documents", ["doc_id"]), select=flat_counts(["doc_id"])),
         "unified_token_counts": query(

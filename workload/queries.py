@@ -12,7 +12,8 @@ from lexloom.checkpoints import new_folder
 from lexloom.functions.chat import ChatOptions
 from lexloom.functions.prunable import keep_rules
 from lexloom.operators.lines import clean_lines, explode_lines
-from lexloom.operators.order import dedupe_keep_first, head_rows, sample_rows, with_row_keys
+from lexloom.operators.order import dedupe_keep_first, draw_rows, head_rows, sample_rows, with_row_keys
+from lexloom.operators.pieces import count_pieces, segment_words
 from lexloom.operators.text import extract_text, extract_text_columns
 from lexloom.operators.tokens import (
     count_corpus,
@@ -37,6 +38,7 @@ from lexloom.operators.unify import (
 )
 from lexloom.operators.vocab import label_vocab, prunable, unused_tokens, used_tokens, with_token_text
 from lexloom.plans.eviction import evict, eviction_stats, materialized_counts, select_evicted
+from lexloom.plans.growing import merged_counts, update_counts
 from lexloom.plans.profiles import profile_lines
 from lexloom.plans.states import adapt_vocab, incoming_words, pair_tokens
 from lexloom.plans.unified import unify_lazily, unify_sources
@@ -56,6 +58,7 @@ from workload.inputs import (
     documents,
     qa_rows,
     sharegpt_rows,
+    spread,
     table,
     transcripts,
     untransformed_rows,
@@ -441,6 +444,40 @@ def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_rows(table(spark, sf_dir, "documents"), DOCUMENT_ORDER).select("doc_id", "lang", "n_chars")
 
 
+@query
+def drawn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw_rows(table(spark, sf_dir, "documents"), DOCUMENT_ORDER).select("draw", "row_no", "doc_id", "lang")
+
+
+@query
+def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = vocabulary(spark, sf_dir)
+    words = count_words(extract_text(conversations(spark, sf_dir)))
+    return segment_words(words.join(vocab, F.col("word") == F.col("token"), "left_anti"), vocab, UNK_ID)
+
+
+@query
+def piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_pieces(extract_text(conversations(spark, sf_dir)), vocabulary(spark, sf_dir), UNK_ID)
+
+
+@query
+def grown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of documents and conversations: documents and pages come first, then conversations, and pages go."""
+
+    def part(name: str, text: str, *order: str) -> DataFrame:
+        a, b = [F.col(n) for n in order] if len(order) > 1 else [F.col(order[0]), F.lit(0)]
+        return spread(table(spark, sf_dir, name), *order).select(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), F.col(text).alias("text"))
+
+    state, order = new_folder(spark), ["a", "b"]
+    docs = part("documents", "text", "doc_id")
+    update_counts(spark, state, {"documents": docs, "pages": part("pages", "html", "page_id")}, order=order)
+    update_counts(spark, state, {"documents": docs, "conversations": part("conversations", "text", "conv_id", "turn")}, ["pages"], order)
+    counts = merged_counts(spark, state, vocabulary(spark, sf_dir), UNK_ID)
+    places = [F.col("first")[i].alias(name) for i, name in enumerate((*order, "pos"))]
+    return counts.select("token_id", "cnt", "part_no", *places)
+
+
 @query
 def distinct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedupe_keep_first(table(spark, sf_dir, "documents"), ["text"], DOCUMENT_ORDER)
