@@ -34,7 +34,7 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, partition_by: tuple[str, ...] = (), compression: str | None = None) -> DataFrame:
     """Write `df` as Parquet below the shared folder now and continue from the written copy.
 
     The rows come back in the layout they were written in, possibly in other partitions. The files stay until
@@ -42,7 +42,7 @@ def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path, compression=compression)
     written = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     written._lexloom_path = path
     return written
