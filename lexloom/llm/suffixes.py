@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.checkpoints import forget_shuffles, materialize, release
+from lexloom.llm.katz import pack_sorted, unpack_sorted
 from lexloom.operators.lookup import attach
 
 DEFAULT_WIDTH = 50
@@ -28,8 +29,8 @@ BLOCK_ROWS = 1 << 15
 # Of a block, so many positions are hashed at once.
 PIECE = 1 << 19
 # Anchors that one task compares, and phrases whose suffixes one task sorts, on average.
-BUCKET_ANCHORS = 1 << 20
-BUCKET_PHRASES = 1 << 14
+BUCKET_ANCHORS = 1 << 19
+BUCKET_PHRASES = 1 << 13
 # A longer run of windows with one anchor (as in a run of equal bytes) is cut.
 RUN = 32
 # Beyond so many distinct phrases around one anchor, its windows are grouped by content, each on its own.
@@ -221,7 +222,7 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
 def window_runs(data: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """`(at, count, anchor, text)`: runs of at most `RUN` neighbouring windows of a text with one anchor."""
     found = []
-    k = max(1, width // 2 - 1)
+    k = max(1, 2 * width // 5)
     ends = np.cumsum(sizes)
     for lo in range(0, len(data) - width + 1, PIECE):
         hi = min(len(data) - width + 1, lo + PIECE)
@@ -266,14 +267,14 @@ def _shared_anchors(blocks: DataFrame, width: int, buckets: int) -> DataFrame:
                     [
                         pa.array(bucket[cuts]),
                         pa.array([batch.column("block")[i].as_py()] * len(cuts), pa.int64()),
-                        pa.array([anchor[a:b].astype("<u8").tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                        pa.array([pack_sorted(anchor[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
                         pa.array([np.packbits(several[a:b]).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
                     ],
                     ["bucket", "block", "anchors", "several"],
                 )
 
     def compare(group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(v.as_py(), "<u8") for v in group.column("anchors")]
+        parts = [unpack_sorted(v.as_py()) for v in group.column("anchors")]
         sizes = np.array([len(p) for p in parts])
         anchor = np.concatenate(parts)
         bits = [np.unpackbits(np.frombuffer(v.as_py(), np.uint8), count=n) for v, n in zip(group.column("several"), sizes.tolist())]
@@ -285,11 +286,11 @@ def _shared_anchors(blocks: DataFrame, width: int, buckets: int) -> DataFrame:
         keep = np.zeros(len(anchor), bool)
         keep[order] = np.repeat(shared, np.diff(np.append(first, len(ordered))))
         ends = np.cumsum(sizes)
-        told = [anchor[a:b][keep[a:b]].tobytes() for a, b in zip(ends - sizes, ends)]
+        told = [pack_sorted(anchor[a:b][keep[a:b]]) if keep[a:b].any() else None for a, b in zip(ends - sizes, ends)]
         return pa.table({"block": group.column("block").combine_chunks(), "anchors": pa.array(told, pa.binary())})
 
     emitted = blocks.mapInArrow(emit, "bucket bigint, block bigint, anchors binary, several binary")
-    return emitted.groupBy("bucket").applyInArrow(compare, "block bigint, anchors binary").where("octet_length(anchors) > 0")
+    return emitted.groupBy("bucket").applyInArrow(compare, "block bigint, anchors binary").where("anchors IS NOT NULL")
 
 
 def _phrases(blocks: DataFrame, shared: DataFrame, width: int) -> DataFrame:
@@ -301,7 +302,7 @@ def _phrases(blocks: DataFrame, shared: DataFrame, width: int) -> DataFrame:
             return schema.empty_table()
         keys, sizes, data = _unpack(block)
         at, count, anchor, text = window_runs(data, sizes, width)
-        asked = np.sort(np.concatenate([np.frombuffer(v.as_py(), "<u8") for v in told.column("anchors")]))
+        asked = np.sort(np.concatenate([unpack_sorted(v.as_py()) for v in told.column("anchors")]))
         place = np.minimum(np.searchsorted(asked, anchor), len(asked) - 1)
         keep = asked[place] == anchor
         at, size, anchor, text = at[keep], count[keep] + width - 1, anchor[keep], text[keep]
@@ -369,12 +370,12 @@ def repeated_spans(
     buckets = 4 * total // width // BUCKET_ANCHORS + 1
     shared = materialize(_shared_anchors(blocks, width, buckets))
     forget_shuffles(spark)
-    phrases = materialize(_phrases(blocks, shared, width))
+    phrases = materialize(_phrases(blocks, shared, width), compression="zstd")
     release(shared)
     forget_shuffles(spark)
     code, windows = F.xxhash64("phrase").alias("code"), (F.octet_length("phrase") - (width - 1)).alias("n")
     grouped = phrases.groupBy("anchor", "phrase").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times"))
-    distinct = materialize(grouped.withColumn("code", code))
+    distinct = materialize(grouped.withColumn("code", code), compression="zstd")
     forget_shuffles(spark)
     holders = materialize(_holders(distinct, width))
     forget_shuffles(spark)
