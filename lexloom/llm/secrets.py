@@ -135,17 +135,31 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     return rows.withColumn("features", features).drop("before", "next")
 
 
+def _in_words() -> Column:
+    """Whether a value consists of words that the corpus has and of short numbers."""
+    letters = F.regexp_count("value", F.lit("[A-Za-z]"))
+    return F.when(F.col("length") <= HARMLESS_CHARS, F.col("value")).rlike(WORDS) & (F.col("covered") * F.col("length") > letters - 0.5)
+
+
+def label_by_name(rows: DataFrame) -> DataFrame:
+    """Labels for the forest where the format leaves it open: 1 for what mixes letters and digits behind a telling name
+    and is not made of words and short numbers, 0 for what is, as `token=build2`. Other undecided values stay null."""
+    mixed = F.col("assigned") & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    by_name = F.when(mixed, F.when(_in_words(), 0.0).otherwise(1.0))
+    return rows.withColumn("label", F.coalesce("label", by_name))
+
+
 def label_by_format(rows: DataFrame) -> DataFrame:
     """Labels where nobody has given any: 1 for what is a secret for certain, 0 for what is certainly harmless, else null.
 
     Behind a telling name nothing is certainly harmless but words that the corpus has.
     """
-    value, letters = F.col("value"), F.regexp_count("value", F.lit("[A-Za-z]"))
+    value = F.col("value")
     varied = (F.size(F.array_distinct(F.split(value, ""))) >= RANDOM_DISTINCT) & (F.regexp_count(value, F.lit(MIX)) >= RANDOM_MIXES)
     random = value.rlike(RANDOM_ASSIGNED) & varied & (F.col("covered") < 0.3)
     known = value.rlike(KNOWN_VALUE) | (F.col("assigned") & (value.rlike(KNOWN_ASSIGNED) | random))
     short = F.when(F.col("length") <= HARMLESS_CHARS, value)
-    in_words = short.rlike(WORDS) & (F.col("covered") * F.col("length") > letters - 0.5)
+    in_words = _in_words()
     plain = F.when(F.col("assigned"), in_words & ~value.rlike("[0-9]")).otherwise(short.rlike(NUMBERS) | short.rlike(PATH) | in_words)
     return rows.withColumn("label", F.when(known, 1.0).when(plain, 0.0))
 
@@ -176,16 +190,14 @@ def scan(
     """Every candidate of every whole text with `score` (the forest's) and `is_secret`.
 
     `findings` are labelled findings `(key, start, label)`; without them, candidates of all folds but the first are
-    labelled by format, which the features do not see; those whose format decides nothing are not learnt from. If one class
-    is missing, every candidate is of the other, and none is a secret if there is nothing labelled. Forests do not tell
-    formats they have not seen, so without `findings` an undecided value behind a telling name that mixes letters and
-    digits is a secret whatever the forest says; it scores `threshold` at least. Null and empty texts have no
-    candidates; rows with null keys are scanned; repeated rows give their candidates each; an empty table gives no rows.
+    labelled by format, which the features do not see, and behind telling names by their words; those about which neither
+    says anything are not learnt from. The forest alone decides. If one class is missing, every candidate is of the
+    other, and none is a secret if there is nothing labelled. Null and empty texts have no candidates; rows with null keys are scanned; repeated rows give their candidates each; an empty table gives no rows.
     """
     found = candidates(docs, key, text, path)
     rows = materialize(with_features(found, dictionary(docs, text)))
     if findings is None:
-        labelled = label_by_format(rows.where(fold(F.col("key"), train_folds) != 0))
+        labelled = label_by_name(label_by_format(rows.where(fold(F.col("key"), train_folds) != 0)))
     else:
         given = findings.select(F.col(key).alias("key"), "start", F.col("label").cast("double").alias("label"))
         labelled = rows.join(given, ["key", "start"])
@@ -195,10 +207,6 @@ def scan(
         scored = rows.withColumn("score", F.lit(float(only)))
     else:
         scored = model.transform(rows).withColumn("score", F.round(vector_to_array("probability")[1], 6))
-    if findings is None:
-        mixed = F.col("label").isNull() & F.col("assigned") & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-        score = F.when(mixed, F.greatest("score", F.lit(threshold))).otherwise(F.col("score"))
-        scored = label_by_format(scored).withColumn("score", score)
     scored = scored.withColumn("is_secret", F.col("score") >= threshold)
     kept = ("n", "start", "length", "value", "assigned", "covered", "k1", "k2", "score", "is_secret")
     return scored.select(F.col("key").alias(key), *kept)
