@@ -295,6 +295,16 @@ def all_oracles() -> dict[str, str]:
             SELECT token_id, token AS replaced, row_number() OVER (ORDER BY token_id) - 1 AS rank FROM evicted)""",
         "pairs AS (SELECT token_id, replaced, token FROM freed JOIN incoming USING (rank))",
     )
+    effects = (
+        *pairs,
+        "adapted AS (SELECT token_id, coalesce(pairs.token, vocab.token) AS token FROM vocab LEFT JOIN pairs USING (token_id))",
+        "ids_before AS MATERIALIZED (SELECT token AS word, min(token_id) AS id_before FROM vocab GROUP BY token)",
+        "ids_after AS MATERIALIZED (SELECT token AS word, min(token_id) AS id_after FROM adapted GROUP BY token)",
+        """page_counts AS MATERIALIZED (
+            SELECT page_id, word, id_before, id_after, n FROM (SELECT page_id, word, count(*) AS n FROM page_words GROUP BY page_id, word)
+            LEFT JOIN ids_before USING (word) LEFT JOIN ids_after USING (word))""",
+        "moved AS (SELECT * FROM page_counts WHERE id_before IS DISTINCT FROM id_after)",
+    )
     mixed_text = """
         SELECT source, row_order, sub_order, 'None' || chr(10) || instruction || chr(10) || output AS text FROM (
             SELECT '{alpaca}' AS source, * FROM alpaca)
@@ -534,6 +544,27 @@ def all_oracles() -> dict[str, str]:
         ),
         "incoming_tokens": query(*unlisted, select="SELECT * FROM incoming"),
         "paired_tokens": query(*pairs, select="SELECT * FROM pairs"),
+        "adaptation_changes": query(
+            *effects,
+            select=f"""
+                SELECT CAST(token_id AS INTEGER) AS token_id, CAST(sum(lost) AS BIGINT) AS lost, CAST(sum(gained) AS BIGINT) AS gained
+                FROM (SELECT coalesce(id_before, {UNK_ID}) AS token_id, n AS lost, 0 AS gained FROM moved
+                      UNION ALL SELECT coalesce(id_after, {UNK_ID}), 0, n FROM moved) GROUP BY ALL""",
+        ),
+        "adapted_counts": query(
+            *effects,
+            select=f"""
+                SELECT CAST(coalesce(id_after, {UNK_ID}) AS INTEGER) AS token_id, CAST(sum(n) AS BIGINT) AS cnt
+                FROM page_counts GROUP BY ALL""",
+        ),
+        "adapted_rows": query(
+            *effects,
+            select="""
+                SELECT page_id, CAST(sum(n) AS BIGINT) AS n_changed,
+                       CAST(coalesce(sum(n) FILTER (id_before IS NOT NULL), 0) AS BIGINT) AS n_known_before,
+                       CAST(coalesce(sum(n) FILTER (id_after IS NOT NULL), 0) AS BIGINT) AS n_known_after
+                FROM moved GROUP BY page_id""",
+        ),
         "adapted_vocabulary": query(
             *pairs,
             select="SELECT vocab.token_id, coalesce(pairs.token, vocab.token) AS token, is_special, "

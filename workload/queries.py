@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.checkpoints import new_folder
+from lexloom.checkpoints import materialize, new_folder
 from lexloom.functions.chat import ChatOptions
 from lexloom.functions.prunable import keep_rules
 from lexloom.operators.lines import clean_lines, explode_lines
@@ -37,6 +37,7 @@ from lexloom.operators.unify import (
     unify_tables,
 )
 from lexloom.operators.vocab import label_vocab, prunable, unused_tokens, used_tokens, with_token_text
+from lexloom.plans.effects import apply_changes, changed_rows, count_changes, index_words
 from lexloom.plans.eviction import evict, eviction_stats, materialized_counts, select_evicted
 from lexloom.plans.growing import merged_counts, update_counts
 from lexloom.plans.profiles import profile_lines
@@ -572,3 +573,29 @@ def paired_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def adapted_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt_vocab(vocabulary(spark, sf_dir), _paired(spark, sf_dir))
+
+
+def _effect_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, the vocabulary, and the vocabulary after the adaptation to them."""
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "page_id")
+    return pages, vocabulary(spark, sf_dir), materialize(adapted_vocabulary(spark, sf_dir))
+
+
+@query
+def adaptation_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, before, after = _effect_inputs(spark, sf_dir)
+    return count_changes(index_words(pages, ["page_id"]), before, after, ["page_id"], UNK_ID)
+
+
+@query
+def adapted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts before and their changes; the SQL counts everything again."""
+    pages, before, after = _effect_inputs(spark, sf_dir)
+    changes = count_changes(index_words(pages, ["page_id"]), before, after, ["page_id"], UNK_ID)
+    return apply_changes(count_corpus(pages, before, None, unk_id=UNK_ID), changes)
+
+
+@query
+def adapted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, before, after = _effect_inputs(spark, sf_dir)
+    return changed_rows(index_words(pages, ["page_id"]), before, after, ["page_id"])
