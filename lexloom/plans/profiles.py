@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lexloom.checkpoints import materialize
 from lexloom.functions.text import stringify
+from lexloom.operators.order import number_rows
 from lexloom.schemas import LOAD_FAILED, NO_COLUMNS, NO_SAMPLE, PROFILE_SCHEMA, SINGLE_SPLIT
 from lexloom.sources.corpus import read_corpus
 
@@ -41,27 +42,29 @@ def _lines(one_row: DataFrame, name: str, part: str, lines: Column) -> DataFrame
 
 
 def _profile(name: str, df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """A table's profile in long form, as a plan: an aggregate for its splits, a one-row sort for its sample."""
+    """A table's profile in long form, as a plan: its distinct splits numbered in sorted ranges, a one-row sort for its sample.
+
+    Numbering the splits runs jobs when called.
+    """
     fields = [field for field in df.schema.fields if field.name != "split"]
     schema = [f"{field.name}: {field.dataType.simpleString()}" for field in fields] or [NO_COLUMNS]
     by_split = "split" in df.columns
     rows = df.where(F.col("split").isNotNull()) if by_split else df
-    names = F.sort_array(F.collect_set(F.col("split").cast("string"))) if by_split else F.array(F.lit(SINGLE_SPLIT))
     sort = [*(["split"] if by_split else []), *order]
     first = (rows.orderBy(*sort) if sort else rows).limit(1)
     shown = F.array(*[_shown(field) for field in fields]) if fields else F.array(F.lit(NO_SAMPLE))
     sample = first.select(shown.alias("sample")).agg(F.first("sample").alias("sample"))
     if by_split:
-        splits = rows.agg(names.alias("splits"))
+        names = rows.select(F.col("split").cast("string").alias("line")).distinct()
+        numbered = number_rows(names, F.asc("line"), name="pos")
+        splits = numbered.select(F.lit(name).alias("name"), F.lit("splits").alias("part"), F.col("pos").cast("int").alias("pos"), "line")
     else:
-        splits = sample.select(names.alias("splits"))
+        splits = _lines(sample, name, "splits", F.array(F.lit(SINGLE_SPLIT)))
     failed = F.array(F.lit(LOAD_FAILED))
     constant = F.array(*[F.lit(line) for line in schema])
-    found = F.size("splits") > 0
-    return (
-        _lines(splits, name, "splits", F.col("splits"))
-        .unionByName(_lines(splits, name, "schema", F.when(found, constant).otherwise(failed)))
-        .unionByName(_lines(sample, name, "sample", F.coalesce("sample", F.array(F.lit(LOAD_FAILED if by_split else NO_SAMPLE)))))
+    found = F.col("sample").isNotNull() | F.lit(not by_split)
+    return splits.unionByName(_lines(sample, name, "schema", F.when(found, constant).otherwise(failed))).unionByName(
+        _lines(sample, name, "sample", F.coalesce("sample", F.array(F.lit(LOAD_FAILED if by_split else NO_SAMPLE))))
     )
 
 
