@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.checkpoints import materialize
-from lexloom.llm.shared import BLANKS, bind
+from lexloom.llm.shared import BLANKS, bind, fold
 from lexloom.operators.lookup import attach
 
 BUCKETS = 1 << 14
@@ -20,6 +20,8 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 # Scores of labelled texts are counted in so many bins a unit to find the default threshold.
 BINS = 1024
+# Scores that the threshold is chosen by come from ratios fitted without a document's own fold, one of so many.
+FOLDS = 5
 
 
 def words_of(text: Column) -> Column:
@@ -79,22 +81,35 @@ def _without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def fit_ratio(docs: DataFrame, trusted: Column, text: str = "text", buckets: int = BUCKETS) -> list[float]:
-    """The log ratio of every bucket's probability in trusted and in all texts, counted over all of them in one pass.
+def _log_ratios(raw: list[int], target: list[int]) -> list[float]:
+    """Log ratios of two smoothed multinomials; all 0 if the target holds nothing."""
+    if not sum(target):
+        return [0.0] * len(raw)
+    all_raw, all_target = sum(raw) + SMOOTHING * len(raw), sum(target) + SMOOTHING * len(raw)
+    return [math.log((t + SMOOTHING) / all_target) - math.log((r + SMOOTHING) / all_raw) for t, r in zip(target, raw)]
+
+
+def fit_ratios(
+    docs: DataFrame, trusted: Column, part: Column, parts: int = FOLDS, text: str = "text", buckets: int = BUCKETS
+) -> tuple[list[float], list[list[float]]]:
+    """The log ratio of every bucket's probability in trusted and in all texts; then the same for each part of the
+    table without the texts of that part (`part` is 0 … parts - 1).
 
-    Both multinomials are smoothed. Buckets are counted in each task before the shuffle; their number is fixed, and so is
-    the size of what comes to the driver. Without trusted texts all ratios are 0.
+    All texts are counted in one pass, in each task before the shuffle; buckets and parts are of fixed number, and so
+    is the size of what comes to the driver. Without trusted texts all ratios are 0.
     """
     features = bind(word_hashes(words_of(F.col(text))), lambda h: ngram_buckets(h, buckets))
-    each = docs.select(trusted.alias("trusted"), F.explode(features).alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target")).collect()
-    raw, target = [0] * buckets, [0] * buckets
+    each = docs.select(trusted.alias("trusted"), part.alias("part"), F.explode(features).alias("bucket"))
+    counts = each.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target")).collect()
+    raw, target = [[0] * buckets for _ in range(parts)], [[0] * buckets for _ in range(parts)]
     for row in counts:
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    if not sum(target):
-        return [0.0] * buckets
-    all_raw, all_target = sum(raw) + SMOOTHING * buckets, sum(target) + SMOOTHING * buckets
-    return [math.log((t + SMOOTHING) / all_target) - math.log((r + SMOOTHING) / all_raw) for t, r in zip(target, raw)]
+        raw[row["part"]][row["bucket"]], target[row["part"]][row["bucket"]] = row["raw"], row["target"]
+    all_raw, all_target = ([sum(numbers) for numbers in zip(*table)] for table in (raw, target))
+    rest = [
+        _log_ratios([a - o for a, o in zip(all_raw, own_raw)], [a - o for a, o in zip(all_target, own_target)])
+        for own_raw, own_target in zip(raw, target)
+    ]
+    return _log_ratios(all_raw, all_target), rest
 
 
 def _constant(values: list[float]) -> Column:
@@ -102,20 +117,28 @@ def _constant(values: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def measure(docs: DataFrame, ratios: list[float], text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """`keep` columns, `n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score` of every whole text.
+def measure(
+    docs: DataFrame, ratios: list[float], rest: list[list[float]], part: Column, text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """`keep` columns, `n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, held_out_score` of every whole text.
 
-    `score` is the sum of the log ratios of a text's words and word pairs divided by their number, 0 without words.
+    `score` is the sum of the log ratios of a text's words and word pairs divided by their number, 0 without words;
+    `held_out_score` is the same by the ratios fitted without the text's own part.
     """
     content = F.coalesce(F.col(text), F.lit(""))
-    table = _constant(ratios)
+    table, others = _constant(ratios), _constant([value for values in rest for value in values])
+    before = part * F.lit(len(ratios))
+
+    def mean(found: Column, ratio) -> Column:
+        return F.aggregate(found, F.lit(0.0), lambda total, x: total + ratio(x)) / F.greatest(F.size(found), F.lit(1))
+
+    def both(found: Column) -> Column:
+        own, without = mean(found, lambda x: F.get(table, x)), mean(found, lambda x: F.get(others, before + x))
+        return F.struct(own.alias("score"), without.alias("held_out_score"))
 
     def scored(hashes: Column) -> Column:
-        total = bind(
-            ngram_buckets(hashes, len(ratios)),
-            lambda b: F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(table, x)) / F.greatest(F.size(b), F.lit(1)),
-        )
-        return F.struct(F.size(hashes).cast("bigint").alias("n_words"), repeated_words(hashes).alias("n_repeat_words"), total.alias("score"))
+        scores = bind(ngram_buckets(hashes, len(ratios)), both)
+        return F.struct(F.size(hashes).cast("bigint").alias("n_words"), repeated_words(hashes).alias("n_repeat_words"), scores.alias("s"))
 
     found = docs.select(
         *keep,
@@ -124,7 +147,7 @@ def measure(docs: DataFrame, ratios: list[float], text: str = "text", keep: tupl
         repeated_lines(content).alias("n_dup_lines"),
         bind(word_hashes(words_of(content)), scored).alias("m"),
     )
-    return found.select(*keep, "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "m.score")
+    return found.select(*keep, "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "m.s.score", "m.s.held_out_score")
 
 
 def best_cut(counts: list[tuple[int, int, int]]) -> float | None:
@@ -151,9 +174,9 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Measures of every document with `base_failed` and `kept`.
 
     Texts labelled of good quality and not toxic are the trusted target, all texts the raw corpus. A document is kept
-    if it passes the base rules and scores at least `threshold`, by default the score that best tells trusted from bad
-    ones among all labelled texts that pass the base rules (0 if one of them is missing). Null and blank texts fail the
-    base rules. A key with several labels is good if all are; null keys have no label; repeated rows are judged each; an
+    if it passes the base rules and scores at least `threshold`, by default the held-out score that best tells trusted from
+    bad ones among all labelled texts that pass the base rules (0 if one of them is missing): a text that the ratios were
+    fitted on scores higher than others like it. Null and blank texts fail the base rules. A key with several labels is good if all are; null keys have no label; repeated rows are judged each; an
     empty table gives no rows.
     """
     rules = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
@@ -162,12 +185,14 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     named = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     marked = attach(named, labelled, ["_key"], ["_key"])
     trusted = F.coalesce(F.col("_good") & ~F.col("_toxic"), F.lit(False))
-    scored = materialize(measure(named, fit_ratio(marked, trusted, "_text"), "_text", keep=("_key",)))
+    part = fold(F.col("_key"), FOLDS)
+    ratios, rest = fit_ratios(marked, trusted, part, FOLDS, "_text")
+    scored = materialize(measure(named, ratios, rest, part, "_text", keep=("_key",)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     if threshold is None:
-        rated = attach(scored.where(~failed).select("_key", "score"), labelled, ["_key"], ["_key", "score"])
+        rated = attach(scored.where(~failed).select("_key", "held_out_score"), labelled, ["_key"], ["_key", "held_out_score"])
         # Toxic texts of good quality are on neither side. Ratios are bounded, and so is the number of bins.
-        bins = rated.where("NOT (_good AND _toxic)").groupBy(F.floor(F.col("score") * BINS).alias("bin"))
+        bins = rated.where("NOT (_good AND _toxic)").groupBy(F.floor(F.col("held_out_score") * BINS).alias("bin"))
         counts = bins.agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad")).collect()
         cut = best_cut([tuple(row) for row in counts])
         threshold = 0.0 if cut is None else cut

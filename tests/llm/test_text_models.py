@@ -2,9 +2,12 @@
 
 import math
 import re
+import struct
+import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from brute_katz import Katz, tokens, trains
 from pyspark.sql import functions as F
 
@@ -79,6 +82,58 @@ def test_quality_query_against_plain_measures(spark):
         assert not (row["kept"] and row["base_failed"])
 
 
+def plain_buckets(text):
+    def hashed(data, seed=42):
+        return xxhash.xxh64(data, seed=seed).intdigest()
+
+    words = [hashed(w.encode()) for w in WORD.findall(text or "")]
+    pairs = [hashed(struct.pack("<Q", b), hashed(struct.pack("<Q", a))) for a, b in zip(words, words[1:])]
+    return [h % quality.BUCKETS for h in words + pairs]
+
+
+def plain_ratios(docs, good):
+    raw, target = Counter(), Counter()
+    for key, found in docs.items():
+        raw.update(found)
+        target.update(found if key in good else ())
+    if not target:
+        return [0.0] * quality.BUCKETS
+    n, m = (sum(c.values()) + 0.5 * quality.BUCKETS for c in (raw, target))
+    return [math.log((target[b] + 0.5) / m) - math.log((raw[b] + 0.5) / n) for b in range(quality.BUCKETS)]
+
+
+def plain_cut(good, bad):
+    """The middle of the first run of bins, each tried as the lowest kept one, that make the fewest errors."""
+    good, bad = ([math.floor(s * quality.BINS) for s in scores] for scores in (good, bad))
+    tried = range(min(good + bad), max(good + bad) + 2)
+    errors = [sum(g < at for g in good) / len(good) + sum(b >= at for b in bad) / len(bad) for at in tried]
+    first = last = errors.index(min(errors))
+    while last + 1 < len(errors) and errors[last + 1] == errors[first]:
+        last += 1
+    return (tried[first] + tried[last]) / 2 / quality.BINS
+
+
+def test_quality_verdicts_against_plain_model(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: plain_buckets(r["text"]) for r in queries.table(spark, sf_dir, "documents").collect()}
+    labels = {r["doc_id"]: r for r in queries.table(spark, sf_dir, "labels").collect() if r["quality"] is not None}
+    good = {k for k, r in labels.items() if r["quality"] == 1 and r["toxic"] != 1}
+    bad = {k for k, r in labels.items() if r["quality"] != 1}
+    parts = {k: zlib.crc32(str(k).encode()) % quality.FOLDS for k in docs}
+    ratios = plain_ratios(docs, good)
+    rest = [plain_ratios({k: b for k, b in docs.items() if parts[k] != p}, good) for p in range(quality.FOLDS)]
+    score = {k: sum(ratios[b] for b in found) / max(1, len(found)) for k, found in docs.items()}
+    held = {k: sum(rest[parts[k]][b] for b in found) / max(1, len(found)) for k, found in docs.items()}
+    rows = queries.op7_quality(spark, sf_dir).collect()
+    passed = {r["doc_id"] for r in rows if not r["base_failed"]}
+    cut = plain_cut([held[k] for k in good & passed], [held[k] for k in bad & passed])
+    assert len(rows) == len(docs) and good & passed and bad & passed
+    for r in rows:
+        assert r["score"] == pytest.approx(score[r["doc_id"]], abs=1e-9)
+        assert r["held_out_score"] == pytest.approx(held[r["doc_id"]], abs=1e-9)
+        assert r["kept"] == (r["doc_id"] in passed and score[r["doc_id"]] >= cut)
+
+
 def test_quality_of_labelled_documents(spark):
     rows = queries.op7_quality(spark, "/root/testdata/sf0.01").join(queries.table(spark, "/root/testdata/sf0.01", "labels"), "doc_id")
     sums = {r["quality"]: r for r in rows.where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
