@@ -133,7 +133,9 @@ def measure(
         return F.aggregate(found, F.lit(0.0), lambda total, x: total + ratio(x)) / F.greatest(F.size(found), F.lit(1))
 
     def both(found: Column) -> Column:
-        own, without = mean(found, lambda x: F.get(table, x)), mean(found, lambda x: F.get(others, before + x))
+        own = mean(found, lambda x: F.get(table, x))
+        # Bound, or the part would be computed anew for every n-gram.
+        without = bind(before, lambda first: mean(found, lambda x: F.get(others, first + x)))
         return F.struct(own.alias("score"), without.alias("held_out_score"))
 
     def scored(hashes: Column) -> Column:
