@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,20 +35,22 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def ngram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
-    """The buckets of a text's words and word pairs, from the words' hashes as a bound array."""
-    n = F.size(hashes)
-    pairs = F.zip_with(F.slice(hashes, F.lit(1), n - 1), F.slice(hashes, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
-    ones = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    twos = F.transform(F.when(n > 1, pairs).otherwise(F.array().cast("array<bigint>")), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    return F.concat(ones, twos)
+def neighbours(hashes: Column, apart: int = 1) -> Column:
+    """A hash of every element and the one so many places after it; none if there are too few."""
+    n = F.greatest(F.size(hashes) - apart, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(apart + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """Words in windows that a text has more than once, the first included, from the words' hashes as a bound array.
+def in_buckets(hash: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(hash, F.lit(buckets)).cast("int")
 
-    Windows are compared by 64-bit hashes of the words' hashes. Most texts have no two equal ones, which a hash set tells;
-    only others sort their windows.
+
+def repeated_words(hashes: Column, pairs: Column, window: int = WINDOW) -> Column:
+    """Words in windows that a text has more than once, the first included, from the words' hashes and their `neighbours`
+    as bound arrays.
+
+    Windows are compared by 64-bit hashes, each made of those of two shorter windows that cover it. Most texts have no two
+    equal ones even of the size before, which a hash set tells; only others sort their windows.
     """
     def covered(places: Column) -> Column:
         steps = F.zip_with(places, F.slice(places, F.lit(2), F.size(places)), lambda a, b: F.coalesce(F.least(b - a, F.lit(window)), F.lit(window)))
@@ -64,11 +67,21 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
 
     def counted(windows: Column) -> Column:
         ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        none = F.size(F.array_distinct(windows)) == F.size(windows)
-        return F.when(none, F.lit(0).cast("bigint")).otherwise(bind(ordered, repeats))
+        return bind(ordered, repeats)
+
+    def unless_distinct(found: Column, use) -> Column:
+        return F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0).cast("bigint")).otherwise(use(found))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - window + 1), lambda i: F.xxhash64(F.slice(hashes, i, F.lit(window))))
-    return F.when(F.size(hashes) <= window, F.lit(0).cast("bigint")).otherwise(bind(windows, counted))
+    def widened(found: Column, width: int) -> Column:
+        """The result from the hashes of all windows of a smaller or the full width."""
+        if width == window:
+            return unless_distinct(found, counted)
+        step = min(width, window - width)
+        wider = lambda narrow: bind(neighbours(narrow, step), lambda windows: widened(windows, width + step))
+        return unless_distinct(found, wider) if width + step == window else wider(found)
+
+    start = widened(hashes, 1) if window == 1 else widened(pairs, 2)
+    return F.when(F.size(hashes) <= window, F.lit(0).cast("bigint")).otherwise(start)
 
 
 def repeated_lines(text: Column) -> Column:
@@ -77,10 +90,6 @@ def repeated_lines(text: Column) -> Column:
     return F.coalesce(bind(filled, lambda lines: F.size(lines) - F.size(F.array_distinct(lines))), F.lit(0)).cast("bigint")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def _log_ratios(raw: list[int], target: list[int]) -> list[float]:
     """Log ratios of two smoothed multinomials; all 0 if the target holds nothing."""
     if not sum(target):
@@ -97,13 +106,25 @@ def fit_ratios(
 
     All texts are counted in one pass, in each task before the shuffle; buckets and parts are of fixed number, and so
     is the size of what comes to the driver. Without trusted texts all ratios are 0.
+
+    Words are hashed as rows, as generated code does that faster than a function of arrays; and a row for each bucket with
+    all parts' numbers keeps the counts few.
     """
-    features = bind(word_hashes(words_of(F.col(text))), lambda h: ngram_buckets(h, buckets))
-    each = docs.select(trusted.alias("trusted"), part.alias("part"), F.explode(features).alias("bucket"))
-    counts = each.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target")).collect()
+    texts = docs.select(trusted.alias("trusted"), part.alias("part"), words_of(F.col(text)).alias("words"))
+    follower = F.slice("words", F.lit(2), F.size("words"))
+    words = texts.select("trusted", "part", F.explode(F.arrays_zip(F.col("words").alias("word"), follower.alias("next"))).alias("w"))
+    here = F.xxhash64("w.word")
+    pair = F.when(F.col("w.next").isNotNull(), F.xxhash64(here, F.xxhash64("w.next")))
+    each = words.select("trusted", "part", F.explode(F.array(in_buckets(here, buckets), in_buckets(pair, buckets))).alias("bucket"))
+    within = [F.col("part") == p for p in range(parts)]
+    numbers = [F.count_if(own).alias(f"raw_{p}") for p, own in enumerate(within)]
+    numbers += [F.count_if(own & F.col("trusted")).alias(f"target_{p}") for p, own in enumerate(within)]
+    # The last word of a text has no pair.
+    counts = each.where("bucket IS NOT NULL").groupBy("bucket").agg(*numbers).collect()
     raw, target = [[0] * buckets for _ in range(parts)], [[0] * buckets for _ in range(parts)]
     for row in counts:
-        raw[row["part"]][row["bucket"]], target[row["part"]][row["bucket"]] = row["raw"], row["target"]
+        for p in range(parts):
+            raw[p][row["bucket"]], target[p][row["bucket"]] = row[f"raw_{p}"], row[f"target_{p}"]
     all_raw, all_target = ([sum(numbers) for numbers in zip(*table)] for table in (raw, target))
     rest = [
         _log_ratios([a - o for a, o in zip(all_raw, own_raw)], [a - o for a, o in zip(all_target, own_target)])
@@ -126,30 +147,37 @@ def measure(
     `held_out_score` is the same by the ratios fitted without the text's own part.
     """
     content = F.coalesce(F.col(text), F.lit(""))
-    table, others = _constant(ratios), _constant([value for values in rest for value in values])
-    before = part * F.lit(len(ratios))
+    table, others = _constant(ratios), F.array(*map(_constant, rest))
 
-    def mean(found: Column, ratio) -> Column:
-        return F.aggregate(found, F.lit(0.0), lambda total, x: total + ratio(x)) / F.greatest(F.size(found), F.lit(1))
+    def mean(found: Column, ratios: Column) -> Column:
+        return F.aggregate(found, F.lit(0.0), lambda total, x: total + F.get(ratios, x)) / F.greatest(F.size(found), F.lit(1))
 
     def both(found: Column) -> Column:
-        own = mean(found, lambda x: F.get(table, x))
         # Bound, or the part would be computed anew for every n-gram.
-        without = bind(before, lambda first: mean(found, lambda x: F.get(others, first + x)))
-        return F.struct(own.alias("score"), without.alias("held_out_score"))
+        without = bind(F.get(others, part), lambda ratios: mean(found, ratios))
+        return F.struct(mean(found, table).alias("score"), without.alias("held_out_score"))
 
-    def scored(hashes: Column) -> Column:
-        scores = bind(ngram_buckets(hashes, len(ratios)), both)
-        return F.struct(F.size(hashes).cast("bigint").alias("n_words"), repeated_words(hashes).alias("n_repeat_words"), scores.alias("s"))
+    def scored(hashes: Column, pairs: Column) -> Column:
+        found = F.transform(F.concat(hashes, pairs), lambda h: in_buckets(h, len(ratios)))
+        return F.struct(repeated_words(hashes, pairs).alias("n_repeat_words"), bind(found, both).alias("s"))
 
+    def measured(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("bigint").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
+            bind(word_hashes(words), lambda hashes: bind(neighbours(hashes), lambda pairs: scored(hashes, pairs))).alias("h"),
+        )
+
+    plain = F.regexp_replace(content, f"[{re.escape(SYMBOLS)}]", "")
     found = docs.select(
         *keep,
-        F.length(_without(content, BLANKS)).cast("bigint").alias("word_chars"),
-        (F.length(content) - F.length(_without(content, SYMBOLS))).cast("bigint").alias("n_symbols"),
+        (F.length(content) - F.length(plain)).cast("bigint").alias("n_symbols"),
         repeated_lines(content).alias("n_dup_lines"),
-        bind(word_hashes(words_of(content)), scored).alias("m"),
+        bind(words_of(content), measured).alias("m"),
+    )
+    return found.select(
+        *keep, "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.h.n_repeat_words", "m.h.s.score", "m.h.s.held_out_score"
     )
-    return found.select(*keep, "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "m.s.score", "m.s.held_out_score")
 
 
 def best_cut(counts: list[tuple[int, int, int]]) -> float | None:
